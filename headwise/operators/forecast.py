@@ -73,45 +73,57 @@ def rolling_features(frame: DataFrame, columns: list[str], windows: int = 3) ->
     return own.join(by_line, line_key, "left")
 
 
-def _cut_rows(frame: DataFrame, fractions: list[float]) -> DataFrame:
-    """For each fraction, the row that opens the next segment, found by counting instead of sorting.
+def split_bounds(
+    frame: DataFrame, train_until: float = TRAIN_UNTIL, validation_until: float = VALIDATION_UNTIL
+) -> list[tuple | None]:
+    """First row of the validation and of the test part, as (window, day, line, vehicle).
 
-    First the window that holds the position, then the line inside that window, then the vehicle. Each step is a counting
-    aggregate followed by a running sum over counts: as many rows as there are windows, then lines, then vehicles.
+    Found by counting instead of sorting: first the window that holds the position, then the line inside that window, then
+    the vehicle. Each step is a combining count followed by a running sum over counts: as many rows as there are windows,
+    then lines, then vehicles. Two rows reach the driver.
     """
     per_window = frame.groupBy("janela_5min", "event_dt").agg(F.count(F.lit(1)).alias("c"))
     # one row per five minutes of the calendar: about 105,000 a year, whatever the size of the feed
     running = Window.orderBy("janela_5min", "event_dt").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    placed = per_window.withColumns({"upto": F.sum("c").over(running), "n": F.sum("c").over(everything)})
-    position = F.explode(F.array(*[
+    placed = per_window.withColumns({"upto": F.sum("c").over(running), "n": F.sum("c").over(Window.partitionBy())})
+    positions = F.inline(F.array(*[
         F.struct(F.lit(i).alias("cut"), F.floor(F.col("n") * F.lit(f)).alias("position"))
-        for i, f in enumerate(fractions)
+        for i, f in enumerate((train_until, validation_until))
     ]))
-    cuts = placed.select("*", position.alias("p")).select("janela_5min", "event_dt", "c", "upto", "p.*")
     found = ["cut", "janela_5min", "event_dt"]
 
-    def holding(counts: DataFrame) -> DataFrame:
-        return counts.where((F.col("upto") - F.col("c") <= F.col("position")) & (F.col("position") < F.col("upto")))
-
-    def residual(counts: DataFrame, columns: list[str]) -> DataFrame:
-        return holding(counts).select(
-            *columns, (F.col("position") - F.col("upto") + F.col("c")).alias("position")
-        )
+    def narrowed(counts: DataFrame, columns: list[str]) -> DataFrame:
+        holds = (F.col("upto") - F.col("c") <= F.col("position")) & (F.col("position") < F.col("upto"))
+        return counts.where(holds).select(*columns, (F.col("position") - F.col("upto") + F.col("c")).alias("position"))
 
-    cuts = residual(cuts, found)
+    cuts = narrowed(placed.select("janela_5min", "event_dt", "c", "upto", positions), found)
     for column in ["cod_linha", "cod_veiculo"]:
         step = Window.partitionBy("cut").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-        # the cut table has one row per fraction: broadcasting it is safe at any size of the feed
         counts = (
-            frame.join(F.broadcast(cuts), [c for c in found if c != "cut"])
+            # the cut table has two rows, whatever the feed: broadcasting it is always safe
+            frame.join(F.broadcast(cuts), found[1:])
             .groupBy(*found, "position", column)
             .agg(F.count(F.lit(1)).alias("c"))
             .withColumn("upto", F.sum("c").over(step))
         )
         found = [*found, column]
-        cuts = residual(counts, found)
-    return cuts
+        cuts = narrowed(counts, found)
+    rows = {row["cut"]: tuple(row[c] for c in CHRONOLOGY) for row in cuts.select("cut", *CHRONOLOGY).collect()}
+    return [rows.get(0), rows.get(1)]
+
+
+def before(bound: tuple) -> Column:
+    """Rows that precede a bound in (window, day, line, vehicle) order.
+
+    The leading comparison on the window alone is implied; it is spelled out because it can be pushed into the scan.
+    """
+    window, day, line, vehicle = bound
+    instant = F.lit(window).cast("timestamp_ntz")
+    rest = [("event_dt", F.lit(day)), ("cod_linha", F.lit(line)), ("cod_veiculo", F.lit(vehicle))]
+    smaller = F.lit(False)
+    for column, value in reversed(rest):
+        smaller = (F.col(column) < value) | ((F.col(column) == value) & smaller)
+    return (F.col("janela_5min") <= instant) & ((F.col("janela_5min") < instant) | smaller)
 
 
 def temporal_split(
@@ -120,25 +132,14 @@ def temporal_split(
     """Label rows 'train', 'val' or 'test' by position in time: first floor(0.70 n), up to floor(0.85 n), the rest.
 
     No global sort and no row numbers: the two boundary rows are located by counting, and every row is then compared
-    with them where it is. Exact as long as window, day, line and vehicle identify a row, which they do in Gold.
+    with them where it is. Exact as long as window, day, line and vehicle identify a row, which they do in Gold. Pass a
+    stored frame: locating the bounds scans it.
     """
-    cuts = _cut_rows(frame, [train_until, validation_until])
-    chronology = F.struct(*CHRONOLOGY)
-
-    def boundary(cut: int) -> Column:
-        return F.max(F.when(F.col("cut") == cut, chronology))
-
-    bounds = cuts.agg(boundary(0).alias("first_val"), boundary(1).alias("first_test"))
-    bound = bounds.select(F.struct("first_val", "first_test")).scalar()
-    return (
-        frame.withColumn("bound", bound)
-        .withColumn(
-            "split",
-            F.when(chronology < F.col("bound")["first_val"], "train")
-            .when(chronology < F.col("bound")["first_test"], "val")
-            .otherwise("test"),
-        )
-        .drop("bound")
+    first_val, first_test = split_bounds(frame, train_until, validation_until)
+    if first_val is None or first_test is None:  # nothing to split
+        return frame.withColumn("split", F.lit("test"))
+    return frame.withColumn(
+        "split", F.when(before(first_val), "train").when(before(first_test), "val").otherwise("test")
     )
 
 
@@ -157,29 +158,50 @@ def test_rows(labelled: DataFrame) -> DataFrame:
     return labelled.where(F.col("split") == "test")
 
 
-def global_median(train: DataFrame, out: str = "global_baseline") -> DataFrame:
-    return exact_median(train, "y_true", [], out)
+# levels of the median baseline, most specific first; unused keys hold a constant
+BY_LINE_HOUR, BY_LINE, OVERALL = 0, 1, 2
+
+
+def fit_baseline(train: DataFrame) -> DataFrame:
+    """Medians of the target by line and hour, by line, and overall, as one small table.
+
+    All three levels go through one median computation: each row takes part once per level.
+    """
+    def level(number: int, line: Column, hour: Column) -> Column:
+        return F.struct(F.lit(number).alias("level"), line.alias("cod_linha"), hour.alias("faixa_horaria"))
+
+    none = F.lit(-1)
+    rows = train.select("y_true", F.inline(F.array(
+        level(BY_LINE_HOUR, F.col("cod_linha"), F.col("faixa_horaria")),
+        level(BY_LINE, F.col("cod_linha"), none),
+        level(OVERALL, none, none),
+    )))
+    return exact_median(rows, "y_true", ["level", "cod_linha", "faixa_horaria"], "median")
+
+
+def overall_median(fitted: DataFrame) -> Column:
+    """The overall training median as a scalar subquery."""
+    return fitted.where(F.col("level") == OVERALL).select("median").scalar()
 
 
-def baseline_predict(labelled: DataFrame, levels: int = 3) -> DataFrame:
-    """Median of the training part by line and hour, else (three levels) by line, else overall, on the test part.
+def baseline_predict(rows: DataFrame, fitted: DataFrame, levels: int = 3) -> DataFrame:
+    """Look up the training median: line and hour, else (three levels) line, else overall.
 
-    ``levels``: 3 is the official baseline, 2 skips the line level, 1 is the constant predictor.
+    ``levels``: 3 is the official baseline, 2 skips the line level, 1 is the constant predictor. ``fitted`` should be
+    stored; its measured size then decides between broadcast and shuffle.
     """
-    train, out = train_rows(labelled), test_rows(labelled)
-    fallbacks: list[Column] = []
+    out, answers = rows, []
     if levels >= 2:
-        by_hour = exact_median(train, "y_true", ["cod_linha", "faixa_horaria"], "line_hour_median")
+        by_hour = fitted.where(F.col("level") == BY_LINE_HOUR).select(
+            "cod_linha", "faixa_horaria", F.col("median").alias("line_hour_median"))
         out = out.join(by_hour, ["cod_linha", "faixa_horaria"], "left")
-        fallbacks.append(F.col("line_hour_median"))
+        answers.append(F.col("line_hour_median"))
     if levels >= 3:
-        by_line = exact_median(train, "y_true", ["cod_linha"], "line_median")
+        by_line = fitted.where(F.col("level") == BY_LINE).select("cod_linha", F.col("median").alias("line_median"))
         out = out.join(by_line, "cod_linha", "left")
-        fallbacks.append(F.col("line_median"))
-    # one value: a scalar subquery, not a join
-    out = out.withColumn("overall_median", global_median(train).scalar())
-    fallbacks.append(F.col("overall_median"))
-    return out.withColumn("y_pred", F.coalesce(*fallbacks)).select(*PREDICTION_COLUMNS)
+        answers.append(F.col("line_median"))
+    out = out.withColumn("overall_median", overall_median(fitted))
+    return out.withColumn("y_pred", F.coalesce(*answers, "overall_median")).select(*PREDICTION_COLUMNS)
 
 
 def baseline_contemporaneous(gold: DataFrame) -> DataFrame:
@@ -193,13 +215,13 @@ def baseline_contemporaneous(gold: DataFrame) -> DataFrame:
     )
 
 
-def metrics_table(labelled: DataFrame, predictions: DataFrame, model_name: str) -> DataFrame:
+def metrics_table(labelled: DataFrame, fitted: DataFrame, predictions: DataFrame, model_name: str) -> DataFrame:
     """One metrics row of a run: strategy, split sizes, errors and the overall training median."""
     scored = error_metrics(predictions.withColumn("model_name", F.lit(model_name)), ["model_name"])
     sizes = ["row_count_total", "row_count_train", "row_count_val", "row_count_test"]
     return (
         scored.withColumn("size", split_sizes(labelled).select(F.struct(*sizes)).scalar())
-        .withColumn("global_baseline", global_median(train_rows(labelled)).scalar())
+        .withColumn("global_baseline", overall_median(fitted))
         .select(
             "model_name",
             F.lit("temporal_70_15_15").alias("split_strategy"),

@@ -56,13 +56,14 @@ def _gold(spark, sf):
 
 
 def _labelled(spark, sf):
-    return P.labelled_windows(P.stored_gold(AVL.tables(spark, sf)))
+    # the target is the only reader of Gold here, so Gold itself is not written
+    return P.labelled_windows(_gold(spark, sf))
 
 
 def _predictions(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(model, baseline) on the test part, both written once."""
     labelled = _labelled(spark, sf)
-    return stage(P.second_model(labelled), "model"), P.baseline_predictions(labelled)
+    return stage(P.second_model(labelled), "model"), stage(P.baseline_predictions(labelled), "baseline")
 
 
 def _model(spark, sf) -> DataFrame:
@@ -151,7 +152,9 @@ def dq_report_union(spark, sf):
 @query
 def metrics_table(spark, sf):
     labelled = _labelled(spark, sf)
-    return FC.metrics_table(labelled, P.baseline_predictions(labelled), BASELINE_NAME)
+    fitted = P.fitted_baseline(labelled)
+    predicted = stage(FC.baseline_predict(FC.test_rows(labelled), fitted), "baseline")
+    return FC.metrics_table(labelled, fitted, predicted, BASELINE_NAME)
 
 
 @query
@@ -191,22 +194,22 @@ def normalize_coords(spark, sf):
 
 @query
 def silver_gps_events(spark, sf):
-    return AVL.tables(spark, sf)["gps_events"]
+    return SV.silver_table(AVL.parsed_points(spark, sf), "gps_events")
 
 
 @query
 def silver_stop_events(spark, sf):
-    return AVL.tables(spark, sf)["stop_events"]
+    return SV.silver_table(AVL.parsed_points(spark, sf), "stop_events")
 
 
 @query
 def silver_fare_events(spark, sf):
-    return AVL.tables(spark, sf)["fare_events"]
+    return SV.silver_table(AVL.parsed_points(spark, sf), "fare_events")
 
 
 @query
 def silver_operational_events(spark, sf):
-    return AVL.tables(spark, sf)["operational_events"]
+    return SV.silver_table(AVL.parsed_points(spark, sf), "operational_events")
 
 
 @query
@@ -431,29 +434,27 @@ def temporal_features(spark, sf):
 
 @query
 def temporal_split(spark, sf):
-    gold = P.stored_gold(AVL.tables(spark, sf)).select(*P.FORECAST_COLUMNS)
-    return FC.temporal_split(FC.target_next_window(gold)).select(*KEY, "y_true", "split")
+    return _labelled(spark, sf).select(*KEY, "y_true", "split")
 
 
 @query
 def split_sizes(spark, sf):
-    gold = P.stored_gold(AVL.tables(spark, sf)).select(*P.FORECAST_COLUMNS)
-    return FC.split_sizes(FC.temporal_split(FC.target_next_window(gold)))
+    return FC.split_sizes(_labelled(spark, sf))
 
 
 @query
 def baseline_predict(spark, sf):
-    return FC.baseline_predict(_labelled(spark, sf))
+    return P.baseline_predictions(_labelled(spark, sf))
 
 
 @query
 def baseline_two_level(spark, sf):
-    return FC.baseline_predict(_labelled(spark, sf), levels=2)
+    return P.baseline_predictions(_labelled(spark, sf), levels=2)
 
 
 @query
 def baseline_global(spark, sf):
-    return FC.baseline_predict(_labelled(spark, sf), levels=1)
+    return P.baseline_predictions(_labelled(spark, sf), levels=1)
 
 
 @query
@@ -463,7 +464,7 @@ def baseline_contemporaneous(spark, sf):
 
 @query
 def predictions(spark, sf):
-    return FC.baseline_predict(_labelled(spark, sf)).select(F.lit(BASELINE_NAME).alias("model_name"), "*")
+    return P.baseline_predictions(_labelled(spark, sf)).select(F.lit(BASELINE_NAME).alias("model_name"), "*")
 
 
 @query
@@ -485,7 +486,8 @@ def prediction_audit(spark, sf):
 @query
 def model_comparison(spark, sf):
     labelled = _labelled(spark, sf)
-    three, one = P.baseline_predictions(labelled), stage(FC.baseline_predict(labelled, levels=1), "constant")
+    fitted, test = P.fitted_baseline(labelled), FC.test_rows(labelled)
+    three, one = (stage(FC.baseline_predict(test, fitted, levels), "predicted") for levels in (3, 1))
     return FC.model_comparison(three, one, "baseline_three_level", "constant_median")
 
 
@@ -496,17 +498,17 @@ def target_zero_mass(spark, sf):
 
 @query
 def line_hour_metrics(spark, sf):
-    return FC.line_hour_metrics(FC.baseline_predict(_labelled(spark, sf)))
+    return FC.line_hour_metrics(P.baseline_predictions(_labelled(spark, sf)))
 
 
 @query
 def line_datehour_metrics(spark, sf):
-    return FC.line_datehour_metrics(FC.baseline_predict(_labelled(spark, sf)))
+    return FC.line_datehour_metrics(P.baseline_predictions(_labelled(spark, sf)))
 
 
 @query
 def vehicle_day_metrics(spark, sf):
-    return FC.vehicle_day_metrics(FC.baseline_predict(_labelled(spark, sf)))
+    return FC.vehicle_day_metrics(P.baseline_predictions(_labelled(spark, sf)))
 
 
 @query
@@ -516,7 +518,7 @@ def actual_delay_means(spark, sf):
 
 # --- models -----------------------------------------------------------------------------------------------------------
 def _features(spark, sf):
-    return P.labelled_features(P.stored_gold(AVL.tables(spark, sf)))
+    return P.labelled_features(_gold(spark, sf))
 
 
 @query

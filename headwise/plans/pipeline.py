@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwise.operators.forecast import (
-    LAGGED, baseline_predict, lag_features, target_next_window, temporal_features, temporal_split, test_rows,
+    LAGGED, baseline_predict, fit_baseline, lag_features, target_next_window, temporal_features, temporal_split,
+    test_rows, train_rows,
 )
 from headwise.operators.gold import build_gold
 from headwise.schemas import PREDICTION_COLUMNS
@@ -21,18 +22,24 @@ def stored_gold(tables: dict[str, DataFrame], zone: str = "UTC") -> DataFrame:
 
 
 def labelled_windows(gold: DataFrame) -> DataFrame:
-    """Next-window target and split on the five columns the baselines need. Written, as each median scans it."""
-    return stage(temporal_split(target_next_window(gold.select(*FORECAST_COLUMNS))), "labelled")
+    """Next-window target and split on the five columns the baselines need. The target is written, as the split and the
+    medians scan it; the split itself is then a comparison per row."""
+    return temporal_split(stage(target_next_window(gold.select(*FORECAST_COLUMNS)), "target"))
 
 
 def labelled_features(gold: DataFrame) -> DataFrame:
     """Target, split and model features. Lags and the target share one partitioning and one sort."""
     features = temporal_features(lag_features(gold, LAGGED))
-    return stage(temporal_split(target_next_window(features)), "features")
+    return temporal_split(stage(target_next_window(features), "features"))
 
 
-def baseline_predictions(labelled: DataFrame) -> DataFrame:
-    return stage(baseline_predict(labelled), "baseline")
+def fitted_baseline(labelled: DataFrame) -> DataFrame:
+    """The median table of the training part, stored like any fitted model."""
+    return stage(fit_baseline(train_rows(labelled)), "medians")
+
+
+def baseline_predictions(labelled: DataFrame, levels: int = 3) -> DataFrame:
+    return baseline_predict(test_rows(labelled), fitted_baseline(labelled), levels)
 
 
 def second_model(labelled: DataFrame) -> DataFrame:
