@@ -207,19 +207,32 @@ def materialize_gold(
 
 
 def align_events(tables: dict[str, DataFrame]) -> DataFrame:
-    """Full outer alignment of the four tables on message and point, columns prefixed by table.
+    """Full outer alignment of the four tables on message and point: one row per key, columns prefixed by table.
 
-    Points without an index never match a point of another table by SQL equality, so messages without GPS stay apart.
+    Written as one union and one grouping instead of three full joins: a single shuffle that combines copies beforehand,
+    where joins would pair every copy of a key with every other. Copies are kept as a count per table; of copies that
+    differ, the latest row represents the table. A message without points keeps its NULL index as its key.
     """
-    keys = ["event_id", "gps_idx"]
-    joined = None
-    for name in SILVER_TABLES:
-        prefix = name.removesuffix("_events")
-        side = tables[name].select(
-            *keys, *[F.col(c).alias(f"{prefix}_{c}") for c in ("event_dt", "event_ts", "cod_linha", "cod_veiculo")]
+    keys, shown = ["event_id", "gps_idx"], ["event_ts", "event_dt", "cod_linha", "cod_veiculo"]
+    sides = [tables[name].select(*keys, F.lit(name).alias("table_name"), F.struct(*shown).alias("row"))
+             for name in SILVER_TABLES]
+    stacked = reduce(lambda a, b: a.unionByName(b), sides)
+
+    def of(name: str) -> Column:
+        return F.when(F.col("table_name") == name, F.col("row"))
+
+    grouped = stacked.groupBy(*keys).agg(
+        *[F.max(of(name)).alias(name) for name in SILVER_TABLES],
+        *[F.count(of(name)).alias(f"{name}_rows") for name in SILVER_TABLES],
+    )
+    return grouped.select(*keys, *[
+        column
+        for name in SILVER_TABLES
+        for column in (
+            *[F.col(name)[c].alias(f"{name.removesuffix('_events')}_{c}") for c in shown],
+            F.col(f"{name}_rows").alias(f"{name.removesuffix('_events')}_rows"),
         )
-        joined = side if joined is None else joined.join(side, keys, "full")
-    return joined
+    ])
 
 
 def gold_validation(gold: DataFrame, max_null_pct: float = 10.0) -> DataFrame:

@@ -23,7 +23,9 @@ DIRECTION_DAY = ["event_dt", "cod_linha", "viagem_sentido"]
 def arrival_seconds(stops: DataFrame) -> DataFrame:
     """Distinct arrival seconds per day, line and direction, with the number of stop rows at each."""
     return (
-        stops.where(F.col("event_ts").isNotNull())
+        # the day test is implied, but said here it is the same for every reader of this frame, which lets Spark reuse
+        # the shuffles instead of repeating them with and without an inferred filter
+        stops.where(F.col("event_ts").isNotNull() & F.col("event_dt").isNotNull())
         .select("event_dt", or_missing("cod_linha").alias("cod_linha"),
                 direction_or_nd().alias("viagem_sentido"), "event_ts")
         .groupBy(*DIRECTION_DAY, "event_ts")
@@ -89,8 +91,11 @@ def headway_delay(
     observed = headway_observed(stops, zone)
     reference = headway_reference(observed, fit_until)
     late = F.col("headway_observado_min") - F.col("headway_referencia_min")
+    # fitted on all days, the reference holds every observed group: an inner join loses nothing, and as both of its sides
+    # then carry the same filters the arrival shuffles are done once and reused
+    how = "inner" if fit_until is None else "left"
     return (
-        observed.join(reference, ["cod_linha", "viagem_sentido", "faixa_horaria"], "left")
+        observed.join(reference, ["cod_linha", "viagem_sentido", "faixa_horaria"], how)
         .withColumn("atraso_aproximado_min", F.when(late.isNotNull(), F.greatest(F.lit(0.0), late)))
         .select(*DIRECTION_WINDOW, "headway_observado_min", "headway_referencia_min", "atraso_aproximado_min",
                 "n_eventos_ponto")

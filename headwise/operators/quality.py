@@ -87,19 +87,6 @@ def _coordinate_counts() -> list[Column]:
     ]
 
 
-def dq_coordinates(tagged: DataFrame) -> DataFrame:
-    """Check B: missing and out-of-range coordinates."""
-    return tagged.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("rows_total"),
-        F.min("event_dt").alias("event_dt_min"),
-        F.max("event_dt").alias("event_dt_max"),
-        *_coordinate_counts(),
-    ).withColumns({
-        "pct_invalid_coord_pair": _percent("invalid_coord_pair_rows", "coords_non_null_rows"),
-        "status": _status(F.col("invalid_coord_pair_rows")),
-    })
-
-
 def numeric_checks(columns: list[str]) -> dict[str, tuple[str, Column]]:
     """Check name -> (column, condition) for the checks whose column exists."""
     checks: dict[str, tuple[str, Column]] = {}
@@ -113,49 +100,80 @@ def numeric_checks(columns: list[str]) -> dict[str, tuple[str, Column]]:
     return {name: check for name, check in checks.items() if check[0] in columns}
 
 
+def _null_counts(columns: list[str]) -> list[Column]:
+    return [F.count_if(F.col(c).isNull()).alias(f"null_{c}_rows") for c in CHECKED_KEYS if c in columns]
+
+
+def _measured(tagged: DataFrame, *counts: Column) -> DataFrame:
+    """Rows, day span and the given counts per table: one scan, combined before a shuffle of a few rows."""
+    return tagged.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("rows_total"),
+        F.min("event_dt").alias("event_dt_min"),
+        F.max("event_dt").alias("event_dt_max"),
+        *counts,
+    )
+
+
+def _coordinate_verdict(counts: DataFrame, status: str = "status") -> DataFrame:
+    return counts.withColumns({
+        "pct_invalid_coord_pair": _percent("invalid_coord_pair_rows", "coords_non_null_rows"),
+        status: _status(F.col("invalid_coord_pair_rows")),
+    })
+
+
+def _numeric_verdict(counts: DataFrame, columns: dict[str, list[str]], checks: dict, status: str = "status") -> DataFrame:
+    keys = [c for c in CHECKED_KEYS if f"null_{c}_rows" in counts.columns]
+    known = counts.withColumns({
+        **{f"null_{c}_pct": _percent(f"null_{c}_rows", "rows_total") for c in keys},
+        **{
+            name: F.when(F.col("table_name").isin([t for t, have in columns.items() if column in have]), F.col(name))
+            for name, (column, _) in checks.items()
+            if not all(column in have for have in columns.values())
+        },
+    })
+    zero = F.lit(0).cast("bigint")
+    total = sum((F.coalesce(F.col(name), zero) for name in checks), zero)
+    return known.withColumn("invalid_numeric_total_rows", total).withColumn(
+        status, _status(F.col("invalid_numeric_total_rows"))
+    )
+
+
+def dq_coordinates(tagged: DataFrame) -> DataFrame:
+    """Check B: missing and out-of-range coordinates."""
+    return _coordinate_verdict(_measured(tagged, *_coordinate_counts()))
+
+
 def dq_nulls_types(tagged: DataFrame, columns: dict[str, list[str]] | None = None) -> DataFrame:
     """Check C: missing keys and impossible numbers. A row can count in several checks.
 
     ``columns`` tells which table has which column; a check on a column that a table lacks is NULL for that table and
     adds nothing to its total.
     """
-    columns = columns or SILVER_COLUMNS
     checks = numeric_checks(tagged.columns)
-    keys = [c for c in CHECKED_KEYS if c in tagged.columns]
-    counts = tagged.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("rows_total"),
-        F.min("event_dt").alias("event_dt_min"),
-        F.max("event_dt").alias("event_dt_max"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}_rows") for c in keys],
-        *[F.count_if(condition).alias(name) for name, (_, condition) in checks.items()],
-    )
-    counts = counts.withColumns({f"null_{c}_pct": _percent(f"null_{c}_rows", "rows_total") for c in keys})
-    counts = counts.withColumns({
-        name: F.when(F.col("table_name").isin([t for t, have in columns.items() if column in have]), F.col(name))
-        for name, (column, _) in checks.items()
-        if not all(column in have for have in columns.values())
-    })
-    total = sum((F.coalesce(F.col(name), F.lit(0).cast("bigint")) for name in checks), F.lit(0).cast("bigint"))
-    return counts.withColumn("invalid_numeric_total_rows", total).withColumn(
-        "status", _status(F.col("invalid_numeric_total_rows"))
+    counts = _measured(
+        tagged, *_null_counts(tagged.columns), *[F.count_if(test).alias(name) for name, (_, test) in checks.items()]
     )
+    return _numeric_verdict(counts, columns or SILVER_COLUMNS, checks)
 
 
-def dq_summary(tagged: DataFrame) -> DataFrame:
-    """Checks A, B and C side by side per table, with an overall verdict."""
-    a = dq_duplicates(tagged).withColumnRenamed("status", "status_a")
-    b = dq_coordinates(tagged).select(
+def dq_summary(tagged: DataFrame, columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """Checks A, B and C side by side per table, with an overall verdict. B and C share one scan."""
+    checks = numeric_checks(tagged.columns)
+    measured = _measured(
+        tagged, *_coordinate_counts(), *_null_counts(tagged.columns),
+        *[F.count_if(test).alias(name) for name, (_, test) in checks.items()],
+    )
+    judged = _numeric_verdict(_coordinate_verdict(measured, "status_b"), columns or SILVER_COLUMNS, checks, "status_c")
+    side = judged.select(
         "table_name", "coords_non_null_rows", "coords_null_rows", "invalid_coord_pair_rows", "pct_invalid_coord_pair",
-        F.col("status").alias("status_b"),
+        "status_b", *[f"null_{k}_pct" for k in CHECKED_KEYS], "invalid_numeric_total_rows", "status_c",
     )
-    c = dq_nulls_types(tagged).select(
-        "table_name", *[f"null_{k}_pct" for k in CHECKED_KEYS], "invalid_numeric_total_rows",
-        F.col("status").alias("status_c"),
+    fine = (F.col("status_a") == "ok") & (F.col("status_b") == "ok") & (F.col("status_c") == "ok")
+    return (
+        dq_duplicates(tagged).withColumnRenamed("status", "status_a")
+        .join(side, "table_name")
+        .withColumn("status_overall", F.when(fine, "ok").otherwise("warning"))
     )
-    verdict = F.when(
-        (F.col("status_a") == "ok") & (F.col("status_b") == "ok") & (F.col("status_c") == "ok"), "ok"
-    ).otherwise("warning")
-    return a.join(b, "table_name").join(c, "table_name").withColumn("status_overall", verdict)
 
 
 def _any_invalid_point() -> Column:

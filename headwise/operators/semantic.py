@@ -5,7 +5,7 @@ All of it is narrow per row except the two distinct counts; rows come tagged wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.functions.frames import constant_rows
@@ -52,34 +52,35 @@ def semantic_entities(tagged: DataFrame) -> DataFrame:
 def semantic_summary(tagged: DataFrame) -> DataFrame:
     """Classes, properties, rules and tables that the data actually uses.
 
-    Links and properties are reduced to their few distinct names before anything is counted.
+    One scan counts the known values of every mapped column per table; which names are in use follows from those few
+    rows, without building a single link.
     """
     spark = tagged.sparkSession
-    links = semantic_links(tagged).select("predicate", "target_class").distinct()
-    used = semantic_properties(tagged).select("property").distinct()
-    event_classes = tagged.select("table_name").distinct().join(_mapping(spark), "table_name")
-    names = (
-        links.select(F.lit("class").alias("kind"), F.col("target_class").alias("name"))
-        .unionByName(event_classes.select(F.lit("class").alias("kind"), F.col("semantic_class").alias("name")))
-        .unionByName(links.select(F.lit("property").alias("kind"), F.col("predicate").alias("name")))
-        .unionByName(used.select(F.lit("property").alias("kind"), F.col("property").alias("name")))
-        .unionByName(_rules(spark).select(F.lit("rule").alias("kind"), F.col("rule_id").alias("name")))
-        .unionByName(event_classes.select(F.lit("table").alias("kind"), F.col("table_name").alias("name")))
-        .distinct()
-    )
-    return names.agg(
-        F.count_if(F.col("kind") == "class").alias("classes"),
-        F.count_if(F.col("kind") == "property").alias("properties"),
-        F.count_if(F.col("kind") == "rule").alias("rules"),
-        F.count_if(F.col("kind") == "table").alias("silver_tables"),
-    )
+    mapped = dict.fromkeys([column for _, _, column, _ in OBJECT_LINKS] + [column for column, _, _ in DATA_PROPERTIES])
+    known = tagged.groupBy("table_name").agg(*[F.count(c).alias(c) for c in mapped])
 
+    def name(kind: str, value: Column, present: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.when(present, value).alias("name"))
 
-def _mapping(spark) -> DataFrame:
+    names = [name("table", F.col("table_name"), F.lit(True)), name("class", F.col("semantic_class"), F.lit(True))]
+    for predicate, target, column, tables in OBJECT_LINKS:
+        used = (F.col(column) > 0) & F.col("table_name").isin(tables)
+        names += [name("property", F.lit(predicate), used), name("class", F.lit(target), used)]
+    names += [name("property", F.lit(prop), F.col(column) > 0) for column, prop, _ in DATA_PROPERTIES]
+    used_names = known.join(_mapping(spark), "table_name", "left").select(F.inline(F.array(*names)))
+    rules = _rules(spark).select(F.lit("rule").alias("kind"), F.col("rule_id").alias("name"))
+    distinct = used_names.unionByName(rules).where(F.col("name").isNotNull()).distinct()
+    return distinct.agg(*[
+        F.count_if(F.col("kind") == kind).alias(label)
+        for kind, label in (("class", "classes"), ("property", "properties"), ("rule", "rules"), ("table", "silver_tables"))
+    ])
+
+
+def _mapping(spark: SparkSession) -> DataFrame:
     return constant_rows(spark, list(TABLE_CLASS.items()), ["table_name", "semantic_class"])
 
 
-def _rules(spark) -> DataFrame:
+def _rules(spark: SparkSession) -> DataFrame:
     return constant_rows(spark, SEMANTIC_RULES, ["rule_id", "code", "priority"])
 
 

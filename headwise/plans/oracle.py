@@ -458,7 +458,9 @@ select prediction_source, cod_linha, hour, {MEAN3}, {r('baseline_pred_atraso_apr
     "event_alignment": """
 select event_id, gps_idx, """ + ", ".join(
         f"{t}.{c} as {t}_{c}" for t in ("gps", "stop", "fare", "operational")
-        for c in ("event_dt", "event_ts", "cod_linha", "cod_veiculo")) + """
+        for c in ("event_dt", "event_ts", "cod_linha", "cod_veiculo")) + ", " + ", ".join(
+        f"cast(case when {t}.event_ts is null then 0 else 1 end as bigint) as {t}_rows"
+        for t in ("gps", "stop", "fare", "operational")) + """
 from gps_events gps full join stop_events stop using (event_id, gps_idx)
 full join fare_events fare using (event_id, gps_idx) full join operational_events operational using (event_id, gps_idx)""",
     "baseline_two_level": f"""
