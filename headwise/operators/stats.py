@@ -19,7 +19,7 @@ def exact_median(frame: DataFrame, value: str, keys: list[str], out: str, accura
     """
     data = frame.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     counted = data.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    margin = 4.0 / accuracy
+    margin = min(0.5, 4.0 / accuracy)
     bracket = data.groupBy(*keys).agg(
         F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy).alias("edge"),
         F.count(F.lit(1)).alias("n"),
