@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwise.operators.forecast import line_hour_metrics, vehicle_day_metrics
 from headwise.schemas import PREDICTION_COLUMNS
 
 PRED, REAL, N = "pred_atraso_aproximado_min", "real_atraso_aproximado_min", "n_registros"
@@ -163,28 +164,30 @@ def top_compare(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def decision_aggregates(
     model: DataFrame,
-    baseline: DataFrame,
+    baseline: DataFrame | None,
     source: str,
     min_line: int = MIN_LINE,
     min_line_hour: int = MIN_LINE_HOUR,
     min_segment: int = MIN_SEGMENT,
     min_vehicle: int = MIN_VEHICLE,
 ) -> dict[str, DataFrame]:
-    """All decision data sets of a run. Pass staged predictions: each data set scans them once."""
-    from headwise.operators.forecast import line_hour_metrics, vehicle_day_metrics
+    """All decision data sets of a run; without a baseline, all but the comparison with it.
 
+    Pass stored predictions: each data set scans them once.
+    """
     clean = clean_predictions(model.select(*PREDICTION_COLUMNS))
-    clean_base = clean_predictions(baseline.select(*PREDICTION_COLUMNS))
-    complete = model.where(_complete())
     by_line_hour = pred_line_hour(clean, source, min_line_hour)
-    by_vehicle_day = vehicle_day_metrics(complete)
-    return {
+    by_vehicle_day = vehicle_day_metrics(clean)
+    sets = {
         "line_hour_final": by_line_hour,
         "line_ranking": line_ranking(clean, source, min_line),
         "hour_ranking": hour_ranking(clean, source, min_line_hour),
         "segment_error": segment_errors(clean, source, min_segment),
         "vehicle_instability": vehicle_instability(by_vehicle_day, source, min_vehicle),
-        "line_hour_compare": line_hour_compare(by_line_hour, clean_base),
         "vehicle_day_ref": by_vehicle_day,
-        "line_hour_ref": line_hour_metrics(complete),
+        "line_hour_ref": line_hour_metrics(clean),
     }
+    if baseline is not None:
+        clean_base = clean_predictions(baseline.select(*PREDICTION_COLUMNS))
+        sets["line_hour_compare"] = line_hour_compare(by_line_hour, clean_base)
+    return sets

@@ -59,7 +59,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _merge(frame: DataFrame, identity: list[str]) -> DataFrame:
     """One row per identity. Within a run every property is set to one value only, so ``max`` picks the known one."""
-    return frame.groupBy(*identity).agg(*[F.max(c).alias(c) for c in frame.columns if c not in identity])
+    props = [F.max(c).alias(c) for c in frame.columns if c not in identity]
+    return frame.groupBy(*identity).agg(*props) if props else frame.select(*identity).distinct()
 
 
 def run_node(spark: SparkSession, run_id: str, **meta: str) -> DataFrame:
@@ -154,17 +155,23 @@ def segment_graph(segments: DataFrame, run_id: str) -> Graph:
     )
 
 
-def decision_graph(spark: SparkSession, aggregates: dict[str, DataFrame], run_id: str, **meta: str) -> Graph:
-    """Whole graph of one run, each node and edge once."""
-    parts = [
-        line_rank_graph(aggregates["line_ranking"], run_id),
-        hour_rank_graph(aggregates["hour_ranking"], run_id),
-        vehicle_rank_graph(aggregates["vehicle_instability"], run_id),
-        line_hour_graph(aggregates["line_hour_compare"], run_id),
-        segment_graph(aggregates["segment_error"], run_id),
-    ]
-    nodes = _union([run_node(spark, run_id, **meta), *[p.nodes for p in parts]])
-    return Graph(_merge(nodes, NODE_ID), _merge(_union([p.edges for p in parts]), EDGE_ID))
+# part of the graph -> (data set it is built from, builder)
+PARTS = {
+    "lines": ("line_ranking", line_rank_graph),
+    "hours": ("hour_ranking", hour_rank_graph),
+    "vehicles": ("vehicle_instability", vehicle_rank_graph),
+    "line_hours": ("line_hour_compare", line_hour_graph),
+    "segments": ("segment_error", segment_graph),
+}
+
+
+def decision_graph(
+    spark: SparkSession, aggregates: dict[str, DataFrame], run_id: str, parts: tuple[str, ...] = tuple(PARTS), **meta: str
+) -> Graph:
+    """Graph of one run, whole or in parts, each node and edge once."""
+    built = [PARTS[part][1](aggregates[PARTS[part][0]], run_id) for part in parts]
+    nodes = _union([run_node(spark, run_id, **meta), *[g.nodes for g in built]])
+    return Graph(_merge(nodes, NODE_ID), _merge(_union([g.edges for g in built]), EDGE_ID))
 
 
 def _overlay(old: DataFrame, new: DataFrame, identity: list[str]) -> DataFrame:

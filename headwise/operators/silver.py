@@ -27,8 +27,9 @@ def silver_table(points: DataFrame, table: str) -> DataFrame:
     return points.where(route_predicate(table)).select(*SILVER_COLUMNS[table])
 
 
-def silver_tables(points: DataFrame) -> dict[str, DataFrame]:
-    return {table: silver_table(points, table) for table in SILVER_COLUMNS}
+def silver_tables(points: DataFrame, names: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """All four tables, or the named ones."""
+    return {table: silver_table(points, table) for table in names or SILVER_COLUMNS}
 
 
 def ingest(points: DataFrame, base: str, mode: str = "overwrite") -> dict[str, str]:

@@ -16,6 +16,7 @@ from headwise.operators.messages import flatten_avl_header, message_points
 from headwise.operators.silver import silver_tables
 from headwise.schemas import COORDINATE_SCALE
 
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 # FIXTURES.md section 3; `event_s` is the compressed epoch second of the message
 EVENT_SECOND = f"1704067200 + (timestampdiff(SECOND, {UNIX_EPOCH}, ts) - 1704067200) div 10"
 ISO = "concat(replace(cast(timestampadd(SECOND, event_s + {shift}, " + UNIX_EPOCH + ") as string), ' ', 'T'), 'Z')"
@@ -86,7 +87,8 @@ MESSAGE = [
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("event_s", F.expr(EVENT_SECOND))
+    # declared schema: no job just to look at a footer
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").withColumn("event_s", F.expr(EVENT_SECOND))
 
 
 def bronze_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,5 +164,10 @@ def parsed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return message_points(bronze_messages(spark, sf_dir))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return silver_tables(points(spark, sf_dir))
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    return silver_tables(points(spark, sf_dir), names)
+
+
+def gold_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The two tables Gold is built from."""
+    return tables(spark, sf_dir, "gps_events", "stop_events")

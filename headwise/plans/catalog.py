@@ -52,7 +52,7 @@ def query(function: Query) -> Query:
 
 # --- shared steps -----------------------------------------------------------------------------------------------------
 def _gold(spark, sf):
-    return G.build_gold(AVL.tables(spark, sf))
+    return G.build_gold(AVL.gold_inputs(spark, sf))
 
 
 def _labelled(spark, sf):
@@ -70,13 +70,15 @@ def _model(spark, sf) -> DataFrame:
     return stage(P.second_model(_labelled(spark, sf)), "model")
 
 
-def _aggregates(spark, sf) -> dict[str, DataFrame]:
-    model, baseline = _predictions(spark, sf)
+def _aggregates(spark, sf, compared: bool = True) -> dict[str, DataFrame]:
+    model, baseline = _predictions(spark, sf) if compared else (_model(spark, sf), None)
     return D.decision_aggregates(model, baseline, "model", **SUPPORT)
 
 
-def _graph(spark, sf) -> GR.Graph:
-    return GR.decision_graph(spark, _aggregates(spark, sf), RUN, stage="final")
+def _graph(spark, sf, *parts: str) -> GR.Graph:
+    """The graph of the model run, or the parts a question needs."""
+    parts = parts or tuple(GR.PARTS)
+    return GR.decision_graph(spark, _aggregates(spark, sf, "line_hours" in parts), RUN, parts, stage="final")
 
 
 def _tagged(spark, sf):
@@ -263,7 +265,7 @@ def ensure_hour(spark, sf):
 # --- filters and samples ----------------------------------------------------------------------------------------------
 @query
 def date_range_filter(spark, sf):
-    return lake.between_days(AVL.tables(spark, sf)["gps_events"], first="2024-01-02")
+    return lake.between_days(SV.silver_table(AVL.points(spark, sf), "gps_events"), first="2024-01-02")
 
 
 @query
@@ -278,18 +280,18 @@ def dropped_predictions(spark, sf):
 
 @query
 def sample_fraction(spark, sf):
-    return SV.sample_rows(AVL.tables(spark, sf)["gps_events"], 0.25)
+    return SV.sample_rows(SV.silver_table(AVL.points(spark, sf), "gps_events"), 0.25)
 
 
 @query
 def limit_records(spark, sf):
-    return SV.limit_rows(AVL.tables(spark, sf)["gps_events"], 100)
+    return SV.limit_rows(SV.silver_table(AVL.points(spark, sf), "gps_events"), 100)
 
 
 # --- joins and Gold ---------------------------------------------------------------------------------------------------
 @query
 def headway_delay(spark, sf):
-    return H.headway_delay(AVL.tables(spark, sf)["stop_events"])
+    return H.headway_delay(SV.silver_table(AVL.points(spark, sf), "stop_events"))
 
 
 @query
@@ -301,7 +303,7 @@ def gold_semi_keys(spark, sf):
 
 @query
 def gold_vehicle_join(spark, sf):
-    tables = AVL.tables(spark, sf)
+    tables = AVL.gold_inputs(spark, sf)
     return G.stop_windows_with_context(
         G.stop_vehicle_windows(tables["stop_events"]), G.vehicle_window_context(tables["gps_events"])
     )
@@ -309,7 +311,7 @@ def gold_vehicle_join(spark, sf):
 
 @query
 def gold_final_table(spark, sf):
-    return G.materialize_gold(AVL.tables(spark, sf))
+    return G.materialize_gold(AVL.gold_inputs(spark, sf))
 
 
 @query
@@ -324,27 +326,27 @@ def union_events(spark, sf):
 
 @query
 def vehicle_window_context(spark, sf):
-    return G.vehicle_window_context(AVL.tables(spark, sf)["gps_events"])
+    return G.vehicle_window_context(SV.silver_table(AVL.points(spark, sf), "gps_events"))
 
 
 @query
 def stop_vehicle_windows(spark, sf):
-    return G.stop_vehicle_windows(AVL.tables(spark, sf)["stop_events"])
+    return G.stop_vehicle_windows(SV.silver_table(AVL.points(spark, sf), "stop_events"))
 
 
 @query
 def headway_gaps(spark, sf):
-    return H.headway_gaps(AVL.tables(spark, sf)["stop_events"])
+    return H.headway_gaps(SV.silver_table(AVL.points(spark, sf), "stop_events"))
 
 
 @query
 def headway_observed(spark, sf):
-    return H.headway_observed(AVL.tables(spark, sf)["stop_events"])
+    return H.headway_observed(SV.silver_table(AVL.points(spark, sf), "stop_events"))
 
 
 @query
 def headway_reference(spark, sf):
-    return H.headway_reference(H.headway_observed(AVL.tables(spark, sf)["stop_events"]))
+    return H.headway_reference(H.headway_observed(SV.silver_table(AVL.points(spark, sf), "stop_events")))
 
 
 @query
@@ -366,7 +368,7 @@ def silver_validation(spark, sf):
 
 @query
 def silver_days(spark, sf):
-    return SV.silver_days(AVL.tables(spark, sf)["gps_events"])
+    return SV.silver_days(SV.silver_table(AVL.points(spark, sf), "gps_events"))
 
 
 @query
@@ -423,7 +425,7 @@ def lag_features(spark, sf):
 @query
 def rolling_features(spark, sf):
     columns = ["velocidade_media", "atraso_aproximado_min"]
-    gold = P.stored_gold(AVL.tables(spark, sf)).select(*KEY, *columns)
+    gold = P.stored_gold(AVL.gold_inputs(spark, sf)).select(*KEY, *columns)
     return FC.rolling_features(gold, columns).drop(*columns)
 
 
@@ -459,7 +461,7 @@ def baseline_global(spark, sf):
 
 @query
 def baseline_contemporaneous(spark, sf):
-    return FC.baseline_contemporaneous(P.stored_gold(AVL.tables(spark, sf)).select(*P.FORECAST_COLUMNS))
+    return FC.baseline_contemporaneous(P.stored_gold(AVL.gold_inputs(spark, sf)).select(*P.FORECAST_COLUMNS))
 
 
 @query
@@ -513,7 +515,7 @@ def vehicle_day_metrics(spark, sf):
 
 @query
 def actual_delay_means(spark, sf):
-    return FC.actual_delay_means(P.stored_gold(AVL.tables(spark, sf)).select(*P.FORECAST_COLUMNS))
+    return FC.actual_delay_means(P.stored_gold(AVL.gold_inputs(spark, sf)).select(*P.FORECAST_COLUMNS))
 
 
 # --- models -----------------------------------------------------------------------------------------------------------
@@ -530,7 +532,7 @@ def impute_median(spark, sf):
 @query
 def impute_mean(spark, sf):
     columns = ["velocidade_media", "latitude_media", "headway_observado_min", "atraso_aproximado_min"]
-    filled = ML.fill_means(P.stored_gold(AVL.tables(spark, sf)), columns)
+    filled = ML.fill_means(P.stored_gold(AVL.gold_inputs(spark, sf)), columns)
     return filled.select(*KEY, "viagem_sentido", *[f"filled_{c}" for c in columns])
 
 
@@ -590,46 +592,46 @@ def line_hour_compare(spark, sf):
 
 @query
 def top_summary(spark, sf):
-    return D.top_summary(_aggregates(spark, sf))
+    return D.top_summary(_aggregates(spark, sf, False))
 
 
 @query
 def top_compare(spark, sf):
     model, baseline = _predictions(spark, sf)
-    old = D.decision_aggregates(baseline, baseline, "baseline", **SUPPORT)
-    new = D.decision_aggregates(model, baseline, "model", **SUPPORT)
+    old = D.decision_aggregates(baseline, None, "baseline", **SUPPORT)
+    new = D.decision_aggregates(model, None, "model", **SUPPORT)
     return D.top_compare(D.top_summary(old), D.top_summary(new))
 
 
 # --- graph ------------------------------------------------------------------------------------------------------------
 @query
 def graph_rank_line(spark, sf):
-    return GR.line_rank_graph(_aggregates(spark, sf)["line_ranking"], RUN).edges
+    return GR.line_rank_graph(_aggregates(spark, sf, False)["line_ranking"], RUN).edges
 
 
 @query
 def graph_rank_line_nodes(spark, sf):
-    return GR.line_rank_graph(_aggregates(spark, sf)["line_ranking"], RUN).nodes
+    return GR.line_rank_graph(_aggregates(spark, sf, False)["line_ranking"], RUN).nodes
 
 
 @query
 def graph_rank_hour(spark, sf):
-    return GR.hour_rank_graph(_aggregates(spark, sf)["hour_ranking"], RUN).edges
+    return GR.hour_rank_graph(_aggregates(spark, sf, False)["hour_ranking"], RUN).edges
 
 
 @query
 def graph_rank_hour_nodes(spark, sf):
-    return GR.hour_rank_graph(_aggregates(spark, sf)["hour_ranking"], RUN).nodes
+    return GR.hour_rank_graph(_aggregates(spark, sf, False)["hour_ranking"], RUN).nodes
 
 
 @query
 def graph_rank_vehicle(spark, sf):
-    return GR.vehicle_rank_graph(_aggregates(spark, sf)["vehicle_instability"], RUN).edges
+    return GR.vehicle_rank_graph(_aggregates(spark, sf, False)["vehicle_instability"], RUN).edges
 
 
 @query
 def graph_rank_vehicle_nodes(spark, sf):
-    return GR.vehicle_rank_graph(_aggregates(spark, sf)["vehicle_instability"], RUN).nodes
+    return GR.vehicle_rank_graph(_aggregates(spark, sf, False)["vehicle_instability"], RUN).nodes
 
 
 @query
@@ -645,12 +647,12 @@ def graph_line_hour_nodes(spark, sf):
 
 @query
 def graph_segments(spark, sf):
-    return GR.segment_graph(_aggregates(spark, sf)["segment_error"], RUN).edges
+    return GR.segment_graph(_aggregates(spark, sf, False)["segment_error"], RUN).edges
 
 
 @query
 def graph_segments_nodes(spark, sf):
-    nodes = GR.segment_graph(_aggregates(spark, sf)["segment_error"], RUN).nodes
+    nodes = GR.segment_graph(_aggregates(spark, sf, False)["segment_error"], RUN).nodes
     return nodes.where(F.col("label") == GR.SEGMENT).drop("code", "hour", "hour_label")
 
 
@@ -674,37 +676,37 @@ def graph_unique_violations(spark, sf):
 
 @query
 def gq_top_lines(spark, sf):
-    return GR.top_lines(_graph(spark, sf), RUN)
+    return GR.top_lines(_graph(spark, sf, "lines"), RUN)
 
 
 @query
 def gq_top_hours(spark, sf):
-    return GR.top_hours(_graph(spark, sf), RUN)
+    return GR.top_hours(_graph(spark, sf, "hours"), RUN)
 
 
 @query
 def gq_top_vehicles(spark, sf):
-    return GR.top_vehicles(_graph(spark, sf), RUN)
+    return GR.top_vehicles(_graph(spark, sf, "vehicles"), RUN)
 
 
 @query
 def gq_gap_vs_baseline(spark, sf):
-    return GR.gap_vs_baseline(_graph(spark, sf), RUN)
+    return GR.gap_vs_baseline(_graph(spark, sf, "line_hours"), RUN)
 
 
 @query
 def gq_overview(spark, sf):
-    return GR.overview(_graph(spark, sf), RUN)
+    return GR.overview(_graph(spark, sf, "lines", "hours", "vehicles"), RUN)
 
 
 @query
 def gq_line_focus(spark, sf):
-    return GR.line_focus(_graph(spark, sf), RUN)
+    return GR.line_focus(_graph(spark, sf, "lines", "segments"), RUN)
 
 
 @query
 def gq_segment_focus(spark, sf):
-    return GR.segment_focus(_graph(spark, sf), RUN)
+    return GR.segment_focus(_graph(spark, sf, "segments"), RUN)
 
 
 # --- semantic layer ---------------------------------------------------------------------------------------------------

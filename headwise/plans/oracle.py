@@ -398,8 +398,8 @@ union all select table_name, rows_total, event_dt_min, event_dt_max, null, null,
     "package_manifest": " union all ".join(
         f"select '{n}' as dataset_name, '{n}_run_model.csv' as file_name, count(*) as row_count from {c}" for n, c in {
             "line_hour_final": "model_lh", "line_ranking": "model_line", "hour_ranking": "model_hour",
-            "segment_error": "model_seg", "vehicle_instability": "model_veh", "line_hour_compare": "lh_compare",
-            "vehicle_day_ref": "model_vday",
+            "segment_error": "model_seg", "vehicle_instability": "model_veh", "vehicle_day_ref": "model_vday",
+            "line_hour_compare": "lh_compare",
             "line_hour_ref": "(select distinct cod_linha, hour from model_clean)"}.items()),
     # projections
     "flatten_header": f"""
