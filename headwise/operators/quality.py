@@ -30,14 +30,16 @@ def _percent(part: str, whole: str) -> Column:
 
 
 def _with_duplicates(counts: DataFrame) -> DataFrame:
-    """Choose the key and count the surplus rows: without a single point index the message id alone is the key."""
-    by_point = F.col("gps_idx_rows") > 0
-    distinct = F.when(by_point, F.col("distinct_points")).otherwise(F.col("distinct_events"))
+    """Name the key and count the surplus rows.
+
+    Without a single point index the message id alone is the key. That needs no count of its own: all pairs then end in
+    NULL, so there are as many of them as message ids.
+    """
     return counts.withColumns({
-        "key_rule": F.when(by_point, "event_id+gps_idx").otherwise("event_id"),
-        "duplicate_rows": F.greatest(F.col("rows_total") - distinct, F.lit(0).cast("bigint")),
+        "key_rule": F.when(F.col("gps_idx_rows") > 0, "event_id+gps_idx").otherwise("event_id"),
+        "duplicate_rows": F.greatest(F.col("rows_total") - F.col("distinct_keys"), F.lit(0).cast("bigint")),
         "status": F.when(F.col("rows_total") > 0, "ok").otherwise("empty"),
-    }).drop("gps_idx_rows", "distinct_points", "distinct_events")
+    }).drop("gps_idx_rows", "distinct_keys")
 
 
 def _duplicate_counts() -> list[Column]:
@@ -47,8 +49,7 @@ def _duplicate_counts() -> list[Column]:
         F.max("event_dt").alias("event_dt_max"),
         F.count("gps_idx").alias("gps_idx_rows"),
         # a struct is never NULL, so a message without points counts as one key
-        F.count_distinct(F.struct("event_id", "gps_idx")).alias("distinct_points"),
-        F.count_distinct("event_id").alias("distinct_events"),
+        F.count_distinct(F.struct("event_id", "gps_idx")).alias("distinct_keys"),
     ]
 
 
@@ -69,8 +70,7 @@ def dq_duplicates_by_day(tagged: DataFrame) -> DataFrame:
             F.min("event_dt_min").alias("event_dt_min"),
             F.max("event_dt_max").alias("event_dt_max"),
             F.sum("gps_idx_rows").alias("gps_idx_rows"),
-            F.sum("distinct_points").alias("distinct_points"),
-            F.sum("distinct_events").alias("distinct_events"),
+            F.sum("distinct_keys").alias("distinct_keys"),
         )
     )
 
