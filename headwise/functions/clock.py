@@ -26,9 +26,13 @@ def instant_to_local(instant: Column, zone: str = "UTC") -> Column:
     return utc if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
-def epoch_of_utc(wall_clock: Column) -> Column:
-    """Whole epoch seconds of a zone-less UTC timestamp (inverse of ``local_time`` for UTC)."""
-    return F.timestamp_diff("SECOND", F.expr(UNIX_EPOCH), wall_clock)
+def epoch_sql(column: str) -> str:
+    """Whole epoch seconds of a zone-less UTC timestamp, as SQL. Read off its fields: ``timestampdiff`` would pass through
+    the session zone."""
+    return (
+        f"(datediff(to_date({column}), date'1970-01-01') * 86400L + hour({column}) * 3600L + minute({column}) * 60L"
+        f" + second({column}))"
+    )
 
 
 def window_start(epoch_seconds: Column, zone: str = "UTC", seconds: int = WINDOW_SECONDS) -> Column:

@@ -76,7 +76,7 @@ def rolling_features(frame: DataFrame, columns: list[str], windows: int = 3) ->
 def split_bounds(
     frame: DataFrame, train_until: float = TRAIN_UNTIL, validation_until: float = VALIDATION_UNTIL
 ) -> list[tuple | None]:
-    """First row of the validation and of the test part, as (window, day, line, vehicle).
+    """First row of the validation and of the test part, as (window, day, line, vehicle), the window as text.
 
     Found by counting instead of sorting: first the window that holds the position, then the line inside that window, then
     the vehicle. Each step is a combining count followed by a running sum over counts: as many rows as there are windows,
@@ -108,7 +108,9 @@ def split_bounds(
         )
         found = [*found, column]
         cuts = narrowed(counts, found)
-    rows = {row["cut"]: tuple(row[c] for c in CHRONOLOGY) for row in cuts.select("cut", *CHRONOLOGY).collect()}
+    # the window travels as text, so that no client time zone can move it
+    window, *rest = CHRONOLOGY
+    rows = {cut: tuple(bound) for cut, *bound in cuts.select("cut", F.col(window).cast("string"), *rest).collect()}
     return [rows.get(0), rows.get(1)]
 
 
@@ -118,7 +120,7 @@ def before(bound: tuple) -> Column:
     The leading comparison on the window alone is implied; it is spelled out because it can be pushed into the scan.
     """
     window, day, line, vehicle = bound
-    instant = F.lit(window).cast("timestamp_ntz")
+    instant = F.lit(window)  # compared as the type of the column
     rest = [("event_dt", F.lit(day)), ("cod_linha", F.lit(line)), ("cod_veiculo", F.lit(vehicle))]
     smaller = F.lit(False)
     for column, value in reversed(rest):
@@ -281,8 +283,9 @@ def line_hour_metrics(predictions: DataFrame) -> DataFrame:
 
 def line_datehour_metrics(predictions: DataFrame) -> DataFrame:
     """Means by line and calendar hour, the variant that one published model used."""
-    return _prediction_means(predictions.withColumn("data_hora", F.date_trunc("hour", "janela_5min").cast(
-        "timestamp_ntz")), ["cod_linha", "data_hora"])
+    window = F.col("janela_5min")
+    hour_start = F.timestamp_add("MINUTE", -F.minute(window), window)
+    return _prediction_means(predictions.withColumn("data_hora", hour_start), ["cod_linha", "data_hora"])
 
 
 def vehicle_day_metrics(predictions: DataFrame) -> DataFrame:

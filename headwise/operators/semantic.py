@@ -24,8 +24,7 @@ def semantic_links(tagged: DataFrame) -> DataFrame:
             value = F.when(F.col("table_name").isin(tables), value)
         links.append(F.struct(F.lit(predicate).alias("predicate"), F.lit(target).alias("target_class"),
                               value.alias("object")))
-    known = F.filter(F.array(*links), lambda link: link["object"].isNotNull())
-    return tagged.select(*EVENT_KEY, F.inline(known))
+    return tagged.select(*EVENT_KEY, F.inline(F.array(*links))).where(F.col("object").isNotNull())
 
 
 def semantic_properties(tagged: DataFrame) -> DataFrame:
@@ -38,10 +37,8 @@ def semantic_properties(tagged: DataFrame) -> DataFrame:
             (F.lit(None) if number else F.col(column)).cast("string").alias("literal_text"),
             (F.col(column) if number else F.lit(None)).cast("double").alias("literal_double"),
         ))
-    known = F.filter(
-        F.array(*facts), lambda fact: fact["literal_text"].isNotNull() | fact["literal_double"].isNotNull()
-    )
-    return tagged.select(*EVENT_KEY, F.inline(known))
+    known = F.col("literal_text").isNotNull() | F.col("literal_double").isNotNull()
+    return tagged.select(*EVENT_KEY, F.inline(F.array(*facts))).where(known)
 
 
 def semantic_entities(tagged: DataFrame) -> DataFrame:

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.functions.clock import UNIX_EPOCH
+from headwise.functions.clock import UNIX_EPOCH, epoch_sql
 from headwise.operators.messages import flatten_avl_header, message_points
 from headwise.operators.silver import silver_tables
 from headwise.schemas import COORDINATE_SCALE
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 # FIXTURES.md section 3; `event_s` is the compressed epoch second of the message
-EVENT_SECOND = f"1704067200 + (timestampdiff(SECOND, {UNIX_EPOCH}, ts) - 1704067200) div 10"
+EVENT_SECOND = f"1704067200 + ({epoch_sql('ts')} - 1704067200) div 10"
 ISO = "concat(replace(cast(timestampadd(SECOND, event_s + {shift}, " + UNIX_EPOCH + ") as string), ' ', 'T'), 'Z')"
 
 POINT = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwise.functions.clock import epoch_sql
 from headwise.operators.forecast import (
     LAGGED, baseline_predict, fit_baseline, lag_features, target_next_window, temporal_features, temporal_split,
     test_rows, train_rows,
@@ -45,7 +46,7 @@ def baseline_predictions(labelled: DataFrame, levels: int = 3) -> DataFrame:
 def second_model(labelled: DataFrame) -> DataFrame:
     """Deterministic stand-in for a second model (FIXTURES.md 3.5): a damped truth, with some truths missing."""
     truth = F.col("y_true")
-    window_no = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', janela_5min) div 300")
+    window_no = F.expr(f"{epoch_sql('janela_5min')} div 300")
     known = (window_no + F.col("cod_veiculo") * 13 + F.col("cod_linha") * 7) % 97 != 0
     return (
         test_rows(labelled)

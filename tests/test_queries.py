@@ -38,3 +38,14 @@ def test_entry_smoke(spark):
     frame = entry.entry(spark)
     assert len(frame.columns) == 16
     assert frame.count() > 0
+
+
+def test_session_zone_does_not_change_results(spark, db, sf_dir):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for name in ("normalize_time", "gold_final_table", "line_datehour_metrics", "temporal_split"):
+            reason = compare(spark, db, name, entry.queries()[name], entry.oracle_sql()[name], sf_dir)
+            assert reason is None, f"{name}: {reason}"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
