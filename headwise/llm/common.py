@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 SUM_BLOCK = 1 << 12
+ODD_BLANK = re.compile(r" (?=\s|\Z)")
 
 
 def crc_remainder(key: str, modulus: int) -> Column:
@@ -146,3 +148,30 @@ def fit_temperature(logits: np.ndarray, target: np.ndarray) -> float:
         if loss < least - 1e-12:
             best, least = float(t), loss
     return best
+
+
+def worker_state(key: str, make: Callable):
+    """A value made once per Python worker process and kept for its later tasks (encoders, bounded caches)."""
+    import sys
+    import types
+
+    holder = sys.modules.setdefault("_headwise_worker_state", types.ModuleType("_headwise_worker_state")).__dict__
+    if key not in holder:
+        holder[key] = make()
+    return holder[key]
+
+
+def spaced_words(text: str) -> list[str]:
+    """Cut a text before every blank that a non-blank character follows; the blanks themselves are left out of the parts
+    but the first. The byte-level BPE pre-tokenisers here always start a new piece at such a blank, so the parts (the blank
+    put back in front of all but the first) can be encoded one by one."""
+    parts = text.split(" ")
+    if ODD_BLANK.search(text) is None:
+        return parts
+    whole = [parts[0]]
+    for part in parts[1:]:
+        if not part or part[0].isspace():
+            whole[-1] += " " + part
+        else:
+            whole.append(part)
+    return whole
