@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwise.llm import best_fit, byte_bpe, host_trust, language_id, quality, toxicity
+from headwise.llm import (
+    best_fit, byte_bpe, collision_dedup, host_trust, impact_topk, language_id, quality, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -57,3 +59,13 @@ def op6_byte_bpe(spark, sf_dir):
 def op9_best_fit(spark, sf_dir):
     cut = best_fit.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return best_fit.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query
+def op1_impact_topk(spark, sf_dir):
+    return impact_topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op3_collision_dedup(spark, sf_dir):
+    return collision_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
