@@ -2,8 +2,8 @@
 
 The features of a text are the distinct hashed runs of 4 to 6 bytes of its normalised form (ASCII letters lower-cased,
 white space a blank). Document frequencies of every feature by class come from all labelled rows. A feature's value is its
-naive Bayes log-count ratio, and only features whose ratio stands out from chance are kept, so a long text does not gather
-noise; a logistic regression over them, fitted on a bounded sample, gives the probability.
+naive Bayes log-count ratio, and only features whose ratio is large and stands out from chance are kept (the ``MAX_FEATURES``
+clearest at most, which bounds what the driver holds), so a long text does not gather noise; a logistic regression over them, fitted on a bounded sample, gives the probability.
 
 Defined results: null and empty texts have no feature and score the bias; an empty table gives an empty result; without
 labelled rows of both classes every score is the share of toxic rows (0 if there are none); repeated rows are scored each
@@ -23,7 +23,7 @@ from headwise.llm.common import bounded_sample, class_counts, crc_remainder, joi
 
 BITS, ORDERS = 18, (4, 5, 6)
 THRESHOLD = 0.3
-MIN_Z = 4.5
+MIN_Z, MIN_RATIO, MAX_FEATURES = 3.5, 1.0, 16384
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] = np.arange(97, 123)
@@ -63,7 +63,7 @@ def _tallied(batches) -> np.ndarray:
     return total
 
 
-def fit(labelled: DataFrame, per_class: int = 8000, rounds: int = 400, l2: float = 1e-3) -> ToxicityModel:
+def fit(labelled: DataFrame, per_class: int = 4000, rounds: int = 400, l2: float = 1e-3) -> ToxicityModel:
     """``labelled``: doc_id, text, toxic (0/1). Ratios come from all rows; the regression from at most about ``per_class``
     rows of each class (the documented bound), weighted back to the class shares."""
     labelled = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where(
@@ -77,7 +77,9 @@ def fit(labelled: DataFrame, per_class: int = 8000, rounds: int = 400, l2: float
     without, having = both[:1 << BITS].astype(float), both[1 << BITS:].astype(float)
     ratio = np.log((having + 0.5) / (positives + 1.0)) - np.log((without + 0.5) / (negatives + 1.0))
     spread = np.sqrt(1 / (having + 0.5) + 1 / (without + 0.5))
-    kept = np.flatnonzero(np.abs(ratio) / spread >= MIN_Z)
+    clear = np.where(np.abs(ratio) >= MIN_RATIO, np.abs(ratio) / spread, 0)
+    kept = np.sort(np.argsort(-clear, kind="stable")[:MAX_FEATURES])
+    kept = kept[clear[kept] >= MIN_Z]
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     shared = labelled.sparkSession.sparkContext.broadcast(place)
