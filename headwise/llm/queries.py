@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.llm import (
-    best_fit, byte_bpe, collision_dedup, host_trust, impact_topk, language_id, quality, toxicity,
+    adaptive_jaccard, best_fit, byte_bpe, collision_dedup, host_trust, impact_topk, language_id, quality, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op1_impact_topk(spark, sf_dir):
 @query
 def op3_collision_dedup(spark, sf_dir):
     return collision_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_adaptive_jaccard(spark, sf_dir):
+    return adaptive_jaccard.near_copies(table(spark, sf_dir, "documents"), words=4, percent=85)
