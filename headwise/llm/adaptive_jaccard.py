@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import fingerprint64, joined_bytes, span_hashes, summed_arrays, text_blocks
+from headwise.llm.common import fingerprint64, joined_bytes, marked_rows, span_hashes, summed_arrays, text_blocks
 from headwise.llm.components import components
 from headwise.sources.staging import stage
 
 COUNTERS = 1 << 21
 LARGEST_MATCH = 4
 SEEN_SETS = 1 << 17
-MARKS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = np.arange(97, 123)
@@ -120,7 +119,7 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "sid"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keyed, "doc_id bigint, n bigint, sid bigint")
+    return docs.mapInArrow(keyed, "doc_id bigint, n bigint, sid bigint")
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -188,28 +187,6 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most rows whose id is not in ``ids``: a fixed-size bitmap of hashed ids, so that the exact join that
-    follows moves few texts. It may let others pass, never stops a wanted one."""
-    def tally(batches):
-        total = np.zeros(MARKS, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column(0).to_numpy(), minlength=MARKS)
-        return total
-
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("int")
-    marks = np.packbits(summed_arrays(ids.select(place.alias("m")), tally, MARKS, "int32") > 0)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-
-    def passed(batches):
-        bits = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[batch.column("m").to_numpy()]))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("m")).mapInArrow(
-        passed, "doc_id bigint, text string, m int").select("doc_id", "text")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set keys whose sets are similar enough, as links (u, v). The sets of b travel to the texts of a."""
     pairs = stage(pairs.select("a", "b"), "jaccard-candidates")
@@ -222,7 +199,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary())],
                                   names=["b", "b_set"])
 
-    texts_b = _marked(docs, wanted_b).join(wanted_b, "doc_id").select("sid", "text")
+    texts_b = marked_rows(docs, wanted_b).join(wanted_b, "doc_id").select("sid", "text")
     sets_b = stage(texts_b.mapInArrow(sets, "b bigint, b_set binary").dropDuplicates(["b"]), "jaccard-sets")
 
     def compared(batches):
@@ -241,12 +218,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     asked = wanted_a.join(sets_b, "b").select(F.col("a_doc").alias("doc_id"), "a", "b", "b_set")
-    return _marked(docs, wanted_a.select(F.col("a_doc").alias("doc_id"))).join(asked, "doc_id").select(
+    return marked_rows(docs, wanted_a.select(F.col("a_doc").alias("doc_id"))).join(asked, "doc_id").select(
         "a", "b", "b_set", "text").mapInArrow(compared, "u bigint, v bigint")
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links where 100 * intersection >= percent * union."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = stage(_keys(docs, words), "jaccard-keys")
     reps = stage(keys.where("sid is not null and doc_id is not null").groupBy("sid").agg(
