@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 SUM_BLOCK = 1 << 12
+MARKS = 1 << 20
 ODD_BLANK = re.compile(r" (?=\s|\Z)")
 
 
@@ -127,15 +128,53 @@ def class_counts(frame: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in frame.groupBy(label).count().orderBy(label).collect()}
 
 
-def bounded_sample(frame: DataFrame, label: str, counts: dict, per_class: int) -> tuple[DataFrame, dict]:
-    """About ``per_class`` rows of each label value, chosen by a hash of the row, and the share taken of each value."""
+def bounded_sample(frame: DataFrame, label: str, counts: dict, per_class: int, *drawn_by: str) -> tuple[DataFrame, dict]:
+    """About ``per_class`` rows of each label value, chosen by a hash of the columns ``drawn_by``, and the share taken of each
+    value."""
     shares = {value: min(1.0, per_class / n) for value, n in counts.items()}
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    drawn = F.pmod(F.xxhash64(*drawn_by), F.lit(1 << 30))
     chosen = [(F.col(label) == F.lit(v)) & (drawn < F.lit(int(share * (1 << 30)))) for v, share in shares.items()]
     condition = reduce(lambda a, b: a | b, chosen) if chosen else F.lit(False)
     return frame.where(condition).limit(4 * per_class * max(1, len(shares))), shares
 
 
+def wanted_labels(labels: DataFrame, label: str, learn_from: Column | None) -> DataFrame:
+    """doc_id and label (0 or 1) of the labels to learn from."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(
+        F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    return rows if learn_from is None else rows.where(learn_from)
+
+
+def sampled_texts(docs: DataFrame, wanted: DataFrame, label: str, counts: dict, per_class: int) -> tuple[DataFrame, dict]:
+    """Texts of a bounded sample of the wanted labels; the sample's ids (4 * per_class * classes at most) are broadcast, so no
+    text is shuffled."""
+    sample, shares = bounded_sample(wanted, label, counts, per_class, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), shares
+
+
+def marked_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of docs without most rows whose id is not in ``ids``: a fixed-size bitmap of hashed ids, so that the
+    exact join that follows moves few texts. It may let others pass, never stops a wanted one."""
+    def tally(batches):
+        total = np.zeros(MARKS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).to_numpy(), minlength=MARKS)
+        return total
+
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARKS)).cast("int")
+    marks = np.packbits(summed_arrays(ids.select(place.alias("m")), tally, MARKS, "int32") > 0)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def passed(batches):
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column("m").to_numpy()]))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", place.alias("m")).mapInArrow(
+        passed, f"doc_id {kind}, text string, m int").select("doc_id", "text")
+
+
 def fit_temperature(logits: np.ndarray, target: np.ndarray) -> float:
     """Temperature with the least log loss of softmax(logits / T) on held-back rows."""
     if not len(logits):

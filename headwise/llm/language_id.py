@@ -76,7 +76,7 @@ def fit(
         known = known.where(learn_from)
     counts = class_counts(known, "lang")
     languages = sorted(counts)
-    sample, _ = bounded_sample(known, "lang", counts, per_language)
+    sample, _ = bounded_sample(known, "lang", counts, per_language, "doc_id", "text")
     rows = sample.mapInArrow(_features, "lang string, at binary, share binary").collect() if languages else []
     classes = len(languages)
     if not rows:

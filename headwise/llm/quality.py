@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwise.llm.common import (
-    bounded_sample, class_counts, crc_remainder, fit_temperature, joined_bytes, span_hashes, summed_arrays, text_blocks,
+    class_counts, crc_remainder, fit_temperature, joined_bytes, sampled_texts, span_hashes, summed_arrays, text_blocks,
+    wanted_labels,
 )
-from headwise.llm.toxicity import labelled_rows
 
 BITS, DIM, WINDOW, NONZERO = 15, 32, 2, 4
 THRESHOLD = 0.3
@@ -149,13 +149,13 @@ def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int, epochs
     return [mean, scale, *p]
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 6000, hidden: int = 24, epochs: int = 30,
+def fit(docs: DataFrame, labels: DataFrame, learn_from=None, per_class: int = 6000, hidden: int = 24, epochs: int = 30,
         rate: float = 0.005, seed: int = 3) -> QualityModel:
-    """Word vectors from all of ``docs``; the network from at most about ``per_class`` rows of each class of ``labelled``
-    (doc_id, text, quality), the documented bound, weighted back to the class shares. One row in five is held back for the
-    temperature."""
-    labelled = labelled.where(F.col("quality").isin(0, 1))
-    counts = class_counts(labelled, "quality")
+    """Word vectors from all of ``docs``; the network from at most about ``per_class`` rows of each class of ``labels``
+    (doc_id, quality) that meet ``learn_from``, the documented bound, weighted back to the class shares. One row in five is
+    held back for the temperature."""
+    wanted = wanted_labels(labels, "quality", learn_from)
+    counts = class_counts(wanted, "quality")
     if len(counts) < 2:
         return QualityModel(None, [], 1.0, float(counts.get(1, 0) / sum(counts.values())) if counts else 0.5)
     vectors = word_vectors(docs)
@@ -167,8 +167,8 @@ def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 6000, hidden: int
             yield pa.record_batch([batch.column("quality"), pa.array([r.tobytes() for r in rows], pa.binary())],
                                   names=["quality", "x"])
 
-    sample, shares = bounded_sample(labelled, "quality", counts, per_class)
-    rows = sample.withColumn("quality", F.col("quality").cast("int")).mapInArrow(features, "quality int, x binary").collect()
+    sample, shares = sampled_texts(docs, wanted, "quality", counts, per_class)
+    rows = sample.select("text", "quality").mapInArrow(features, "quality int, x binary").collect()
     rows.sort(key=lambda r: (r.quality, bytes(r.x)))
     order = np.random.default_rng(seed).permutation(len(rows))
     x = np.stack([np.frombuffer(bytes(rows[i].x), dtype="<f4") for i in order]).astype(float)
@@ -206,6 +206,6 @@ def classify(
 ) -> DataFrame:
     """Learn outside the held-out rows, score every row: doc_id, held_out, score, predicted."""
     held_out = crc_remainder("doc_id", held_out_modulus) == held_out_remainder
-    model = fit(docs, labelled_rows(docs, labels, "quality", ~held_out))
+    model = fit(docs, labels, ~held_out)
     return score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import bounded_sample, class_counts, crc_remainder, joined_bytes, summed_arrays, text_blocks
+from headwise.llm.common import (
+    class_counts, crc_remainder, joined_bytes, marked_rows, sampled_texts, summed_arrays, text_blocks, wanted_labels,
+)
 
 BITS, ORDERS = 18, (4, 5, 6)
 THRESHOLD = 0.3
@@ -63,17 +65,19 @@ def _tallied(batches) -> np.ndarray:
     return total
 
 
-def fit(labelled: DataFrame, per_class: int = 4000, rounds: int = 400, l2: float = 1e-3) -> ToxicityModel:
-    """``labelled``: doc_id, text, toxic (0/1). Ratios come from all rows; the regression from at most about ``per_class``
-    rows of each class (the documented bound), weighted back to the class shares."""
-    labelled = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where(
-        F.col("toxic").isin(0, 1))
-    counts = class_counts(labelled, "toxic")
+def fit(docs: DataFrame, labels: DataFrame, learn_from=None, per_class: int = 4000, rounds: int = 400,
+        l2: float = 1e-3) -> ToxicityModel:
+    """``labels``: doc_id, toxic (0/1); ``learn_from``: a condition on doc_id. Ratios come from all labelled rows; the
+    regression from at most about ``per_class`` rows of each class (the documented bound), weighted back to the class
+    shares."""
+    wanted = wanted_labels(labels, "toxic", learn_from)
+    counts = class_counts(wanted, "toxic")
     negatives, positives = counts.get(0, 0), counts.get(1, 0)
     if not negatives or not positives:
         share = positives / max(1, positives + negatives)
         return ToxicityModel(np.zeros(1 << BITS, "f4"), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    both = summed_arrays(labelled, _tallied, 2 << BITS)
+    labelled = marked_rows(docs, wanted).join(wanted, "doc_id").select("text", "toxic")
+    both = summed_arrays(labelled, _tallied, 2 << BITS, "int32")
     without, having = both[:1 << BITS].astype(float), both[1 << BITS:].astype(float)
     ratio = np.log((having + 0.5) / (positives + 1.0)) - np.log((without + 0.5) / (negatives + 1.0))
     spread = np.sqrt(1 / (having + 0.5) + 1 / (without + 0.5))
@@ -82,7 +86,7 @@ def fit(labelled: DataFrame, per_class: int = 4000, rounds: int = 400, l2: float
     kept = kept[clear[kept] >= MIN_Z]
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    shared = labelled.sparkSession.sparkContext.broadcast(place)
+    shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def features(batches):
         where = shared.value
@@ -90,8 +94,8 @@ def fit(labelled: DataFrame, per_class: int = 4000, rounds: int = 400, l2: float
             rows = [np.unique(p[p >= 0]).astype("<i4").tobytes() for p in (where[c] for c in gram_codes(texts))]
             yield pa.record_batch([batch.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "at"])
 
-    sample, shares = bounded_sample(labelled, "toxic", counts, per_class)
-    rows = sample.mapInArrow(features, "toxic int, at binary").collect()
+    sample, shares = sampled_texts(docs, wanted, "toxic", counts, per_class)
+    rows = sample.select("text", "toxic").mapInArrow(features, "toxic int, at binary").collect()
     y = np.array([r.toxic for r in rows], dtype=float)
     at = [np.frombuffer(bytes(r["at"]), dtype="<i4") for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
@@ -134,18 +138,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn_from) -> DataFrame:
-    """Texts of the labelled documents to learn from. Labels are narrow (about ten bytes a row), so the join leaves it to
-    adaptive execution whether their measured size allows a broadcast."""
-    wanted = labels.select("doc_id", label).where(F.col(label).isNotNull())
-    return docs.select("doc_id", "text").where(learn_from).join(wanted, "doc_id")
-
-
 def classify(
     docs: DataFrame, labels: DataFrame, held_out_modulus: int = 4, held_out_remainder: int = 2, threshold: float = THRESHOLD
 ) -> DataFrame:
     """Learn outside the held-out rows, score every row: doc_id, held_out, score, predicted."""
     held_out = crc_remainder("doc_id", held_out_modulus) == held_out_remainder
-    model = fit(labelled_rows(docs, labels, "toxic", ~held_out))
+    model = fit(docs, labels, ~held_out)
     return score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
