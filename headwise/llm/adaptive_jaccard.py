@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary())],
                                   names=["b", "b_set"])
 
-    texts_b = marked_rows(docs, wanted_b).join(wanted_b, "doc_id").select("sid", "text")
+    texts_b = marked_rows(docs, wanted_b).join(wanted_b.hint("merge"), "doc_id").select("sid", "text")
     sets_b = stage(texts_b.mapInArrow(sets, "b bigint, b_set binary").dropDuplicates(["b"]), "jaccard-sets")
 
     def compared(batches):
@@ -218,7 +218,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     asked = wanted_a.join(sets_b, "b").select(F.col("a_doc").alias("doc_id"), "a", "b", "b_set")
-    return marked_rows(docs, wanted_a.select(F.col("a_doc").alias("doc_id"))).join(asked, "doc_id").select(
+    return marked_rows(docs, wanted_a.select(F.col("a_doc").alias("doc_id"))).join(asked.hint("merge"), "doc_id").select(
         "a", "b", "b_set", "text").mapInArrow(compared, "u bigint, v bigint")
 
 

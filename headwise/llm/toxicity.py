@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, per_class: int = 40
     if not negatives or not positives:
         share = positives / max(1, positives + negatives)
         return ToxicityModel(np.zeros(1 << BITS, "f4"), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    labelled = marked_rows(docs, wanted).join(wanted, "doc_id").select("text", "toxic")
+    labelled = marked_rows(docs, wanted).join(wanted.hint("merge"), "doc_id").select("text", "toxic")
     both = summed_arrays(labelled, _tallied, 2 << BITS, "int32")
     without, having = both[:1 << BITS].astype(float), both[1 << BITS:].astype(float)
     ratio = np.log((having + 0.5) / (positives + 1.0)) - np.log((without + 0.5) / (negatives + 1.0))
