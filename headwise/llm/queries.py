@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.llm import (
-    adaptive_jaccard, best_fit, byte_bpe, collision_dedup, host_trust, impact_topk, language_id, quality, toxicity,
+    adaptive_jaccard, best_fit, byte_bpe, collision_dedup, host_trust, impact_topk, language_id, quality, run_length_dedup, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,11 @@ def op3_collision_dedup(spark, sf_dir):
 @query
 def op7_adaptive_jaccard(spark, sf_dir):
     return adaptive_jaccard.near_copies(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query
+def op8_run_length_dedup(spark, sf_dir):
+    cut = run_length_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
