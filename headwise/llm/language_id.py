@@ -130,8 +130,9 @@ def has_letter(text: bytes | None) -> bool:
     return text is not None and any(map(str.isalpha, text.decode("utf-8", "ignore")))
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score and accepted (false below the calibrated threshold and for ``und``)."""
+def predict(docs: DataFrame, model: LanguageModel, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, lang_pred, score and accepted (false below the calibrated threshold and for ``und``)."""
+    columns = docs.select(*carried).schema
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     known, temperature, threshold = model.languages, model.temperature, model.threshold
 
@@ -151,12 +152,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 scores.append(float(p[best] / p.sum()))
             accepted = [a != UNDETERMINED and s >= threshold for a, s in zip(languages, scores)]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array(accepted, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
+                [*(batch.column(c) for c in carried), pa.array(languages, pa.string()), pa.array(scores, pa.float64()),
+                 pa.array(accepted, pa.bool_())], names=[*carried, "lang_pred", "score", "accepted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        scored, f"doc_id {kind}, lang_pred string, score double, accepted boolean")
+    return docs.select(*dict.fromkeys([*carried, "text"])).mapInArrow(
+        scored, columns.add("lang_pred", "string").add("score", "double").add("accepted", "boolean"))
 
 
 def identify(docs: DataFrame, held_out_modulus: int = 4, held_out_remainder: int = 2) -> DataFrame:

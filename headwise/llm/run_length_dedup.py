@@ -345,8 +345,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return copies.unionByName(found).unionByName(counted)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The columns of ``docs`` with n_bytes, spans (sorted, disjoint byte ranges removed) and kept (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` with n_bytes, spans (sorted, disjoint byte ranges removed) and kept (the remaining bytes; with
+    ``as_text`` a string, from which what is left of characters cut in two is dropped)."""
     keyed = with_rid(docs)
     spans = stage(repeated_spans(keyed, length).groupBy("rid").agg(
         F.collect_list(F.struct("begin", "until")).alias("spans")), "repeated-spans")
@@ -355,7 +356,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         never.withColumn("spans", F.lit(None).cast("array<struct<begin:bigint,until:bigint>>")))
     kept = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (
-        ", n_bytes bigint, spans array<struct<begin:bigint,until:bigint>>, kept binary")
+        f", n_bytes bigint, spans array<struct<begin:bigint,until:bigint>>, kept {'string' if as_text else 'binary'}")
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("until", pa.int64())]))
 
     def applied(batches):
@@ -375,9 +376,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 parts.append(text[at:])
                 sizes.append(len(text))
                 out.append(merged)
-                left.append(b"".join(parts))
+                remaining = b"".join(parts)
+                left.append(remaining.decode("utf-8", "ignore") if as_text else remaining)
             yield pa.record_batch(
-                [*(batch.column(c) for c in kept), pa.array(sizes, pa.int64()), pa.array(out, span_type), pa.array(left, pa.binary())],
+                [*(batch.column(c) for c in kept), pa.array(sizes, pa.int64()), pa.array(out, span_type),
+                 pa.array(left, pa.string() if as_text else pa.binary())],
                 names=[*kept, "n_bytes", "spans", "kept"])
 
     return frame.select(*kept, "spans").mapInArrow(applied, schema)

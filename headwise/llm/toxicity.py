@@ -120,8 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, per_class: int = 40
     return ToxicityModel(weights, bias)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id and the probability of every whole text."""
+def score(docs: DataFrame, model: ToxicityModel, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns and the probability of every whole text."""
+    columns = docs.select(*carried).schema
     shared, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
 
     def scored(batches):
@@ -132,10 +133,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for codes in gram_codes(texts):
                 z = bias + float(weights[np.unique(codes[used[codes]])].sum(dtype=float))
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([*(batch.column(c) for c in carried), pa.array(scores, pa.float64())], names=[*carried, "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
+    return docs.select(*dict.fromkeys([*carried, "text"])).mapInArrow(scored, columns.add("score", "double"))
 
 
 def classify(
