@@ -117,7 +117,7 @@ def summed_arrays(
 
     schema = "block int, packed binary"
     total = np.zeros(size, dtype=kind)
-    for row in frame.mapInArrow(parts, schema).repartition("block").mapInArrow(added, schema).toLocalIterator():
+    for row in frame.mapInArrow(parts, schema).repartition("block").mapInArrow(added, schema).collect():
         x = unpack(row.block, bytes(row.packed))
         total[row.block * SUM_BLOCK:row.block * SUM_BLOCK + len(x)] = x
     return total
