@@ -2,9 +2,9 @@
 
 Encoding. Every task replaces the words of its documents by their places in a dictionary of the chunk of documents it is
 reading (a chunk ends at ``CHUNK_WORDS`` distinct words or ``CHUNK_BYTES`` of text). Documents, now short code arrays, and
-the dictionaries, exploded by word bucket, are written once. The dictionaries are shuffled by word bucket, where each
-distinct word of the corpus is encoded once; the ids travel back by chunk, meet the documents of the chunk and are put in
-the order of the codes. A frequent word therefore counts once per chunk, not once per occurrence, and no task holds more
+the dictionaries, exploded by word bucket, are written once, the documents bucketed by chunk. The dictionaries are shuffled by
+word bucket, where each distinct word of the corpus is encoded once; the ids travel back by chunk, meet the documents of the
+chunk, which are not shuffled, and are put in the order of the codes. A frequent word therefore counts once per chunk, not once per occurrence, and no task holds more
 than one chunk's dictionary or one bucket's distinct words (buckets grow in number with spark.sql.shuffle.partitions).
 
 A word is a part of the text from a blank before a non-blank character to the next such blank. The pre-tokeniser always
@@ -19,6 +19,7 @@ each; an empty table gives an empty result; extra columns are ignored; an id tha
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from headwise.llm.common import spaced_words, worker_state
 from headwise.sources.staging import fresh_path
 
-CHUNK_WORDS, CHUNK_BYTES = 1 << 18, 32 << 20
+CHUNK_WORDS, CHUNK_BYTES = 1 << 20, 24 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +50,28 @@ def _unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", dtype=dtype)
 
 
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Codes below 2 ** 35 in groups of seven bits, the first group first, compressed."""
+    size = sum((codes >= 1 << 7 * k for k in range(1, 5)), np.ones(len(codes), dtype=np.int64))
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    for k in range(5):
+        own = size > k
+        out[at[own] + k] = (codes[own] >> 7 * k & 127) | (size[own] > k + 1) << 7
+    return _pack(out)
+
+
+def _unpack_codes(data: bytes) -> np.ndarray:
+    raw = _unpack(data, "u1").astype(np.int64)
+    last = np.flatnonzero(raw < 128)
+    at = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    codes = np.zeros(len(last), dtype=np.int64)
+    for k in range(5):
+        own = last - at >= k
+        codes[own] |= (raw[at[own] + k] & 127) << 7 * k
+    return codes
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, words), dtype="<u4", count=len(words))
     return _pack(np.frombuffer(np.array([len(words)], "<u4").tobytes() + lengths.tobytes() + b"".join(words), dtype=np.uint8))
@@ -91,10 +114,10 @@ def _coded(buckets: int):
                 if text:
                     words = spaced_words(text)
                     words[1:] = [" " + w for w in words[1:]]
-                    codes.append(_pack(np.array([places.setdefault(w, len(places)) for w in words], dtype="<u4")))
+                    codes.append(_pack_codes(np.array([places.setdefault(w, len(places)) for w in words], dtype=np.int64)))
                     size += len(text)
                 else:
-                    codes.append(_pack(np.zeros(0, "<u4")))
+                    codes.append(_pack_codes(np.zeros(0, np.int64)))
                 full = len(places) >= CHUNK_WORDS or size >= CHUNK_BYTES
                 if full or i == len(texts) - 1:
                     n, chunk = len(codes), (task << 24) + number
@@ -126,12 +149,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    chunks = f"chunk bigint, bucket int, doc_id {kind}, data binary, slots binary"
     path = fresh_path(spark, "bpe-chunks")
-    docs.select("doc_id", "text").mapInArrow(
-        _coded(buckets), f"chunk bigint, bucket int, doc_id {kind}, data binary, slots binary",
-    ).withColumn("part", F.when(F.col("bucket") < 0, "docs").otherwise("words")).write.partitionBy("part").parquet(path)
-    held = spark.read.schema(
-        f"chunk bigint, bucket int, doc_id {kind}, data binary, slots binary, part string").parquet(path)
+    docs.select("doc_id", "text").mapInArrow(_coded(buckets), chunks).withColumn(
+        "part", F.when(F.col("bucket") < 0, "docs").otherwise("words")).write.partitionBy("part").bucketBy(
+        buckets, "chunk").option("path", path).saveAsTable(name := f"headwise_{uuid.uuid4().hex}")
+    held = spark.table(name)
 
     def words_to_ids(batches):
         encoder, current, known = worker_state(f"bpe {ranks_path} {pattern}", _encoder(ranks_path, pattern)), None, {}
@@ -157,58 +180,30 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     coded = held.where("part = 'words'").select("chunk", "bucket", "data", "slots").repartition(
         buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
         words_to_ids, "chunk bigint, data binary, slots binary, lengths binary")
-    meeting = coded.select(
-        "chunk", F.lit(0).alias("place"), F.lit(None).cast(kind).alias("doc_id"), "data", "slots", "lengths").unionByName(
-        held.where("part = 'docs'").select(
-            "chunk", F.lit(1).alias("place"), "doc_id", "data", F.lit(None).cast("binary").alias("slots"),
-            F.lit(None).cast("binary").alias("lengths")))
-
-    def reassembled(batches):
-        current, flat, offsets, lengths, parts = None, None, None, None, []
-        for batch in batches:
-            keys, rows, out, held_ids = batch.column("doc_id"), [], [], 0
-            chunks, place = batch.column("chunk").to_pylist(), batch.column("place").to_pylist()
-            data, slots, sizes = (batch.column(c) for c in ("data", "slots", "lengths"))
-            for i in range(batch.num_rows):
-                if chunks[i] != current:
-                    current, parts, flat = chunks[i], [], None
-                if place[i] == 0:
-                    parts.append((_unpack(data[i].as_py(), "<u4"), _unpack(slots[i].as_py(), "<u4"), _unpack(sizes[i].as_py(), "<u4")))
-                    continue
-                if flat is None:  # the dictionary is complete once the first document comes
-                    words = sum(len(p[1]) for p in parts)
-                    lengths, offsets = np.zeros(words, np.int64), np.zeros(words, np.int64)
-                    base = 0
-                    for ids, at, count in parts:
-                        lengths[at] = count
-                        offsets[at] = base + np.cumsum(count, dtype=np.int64) - count
-                        base += len(ids)
-                    flat = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, "<u4")
-                    parts = []
-                codes = _unpack(data[i].as_py(), "<u4")
-                count = lengths[codes]
-                ends = np.cumsum(count)
-                at = np.repeat(offsets[codes] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
-                out.append(flat[at].astype(np.int32))
-                rows.append(i)
-                held_ids += len(at)
-                if held_ids > 1 << 20:
-                    yield _listed(keys, rows, out)
-                    rows, out, held_ids = [], [], 0
-            if rows:
-                yield _listed(keys, rows, out)
-
-    return meeting.repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(
+    def reassembled(key, documents, words):
+        parts = list(zip(*(words[c].to_pylist() for c in ("data", "slots", "lengths"))))
+        parts = [(_unpack(ids, "<u4"), _unpack(slots, "<u4"), _unpack(sizes, "<u4")) for ids, slots, sizes in parts]
+        total, base = sum(len(p[1]) for p in parts), 0
+        lengths, offsets = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        for ids, at, count in parts:
+            lengths[at] = count
+            offsets[at] = base + np.cumsum(count, dtype=np.int64) - count
+            base += len(ids)
+        flat = np.concatenate([p[0] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
+        out = []
+        for data in documents["data"]:
+            codes = _unpack_codes(data.as_py())
+            count = lengths[codes]
+            ends = np.cumsum(count)
+            out.append(flat[np.repeat(offsets[codes] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)])
+        marks = np.concatenate([[0], np.cumsum([len(a) for a in out])]).astype(np.int32)
+        values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
+        return pa.table([documents["doc_id"], pa.ListArray.from_arrays(pa.array(marks), values)], names=["doc_id", "ids"])
+
+    return held.where("part = 'docs'").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(
         reassembled, f"doc_id {kind}, ids array<int>")
 
 
-def _listed(keys, rows, arrays) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.record_batch(
-        [keys.take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int32()))],
-        names=["doc_id", "ids"])
-
-
 def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
     """``coded`` (doc_id, ids) with the column decoded: the bytes of the ids in order. The token-byte table is broadcast, it
     has one row per id of the vocabulary whatever the corpus."""
