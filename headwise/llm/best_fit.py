@@ -99,11 +99,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def tokenizer():
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, processors
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         made = Tokenizer.from_file(tokenizer_path)
         made.encode_special_tokens = True
+        made.post_processor = processors.ByteLevel(trim_offsets=False)  # offsets that cover every character
         return made
 
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -113,27 +114,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         cache: dict[str, bytes] = worker_state("words " + tokenizer_path, dict)
 
         def fresh(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.encode_batch_fast(words, add_special_tokens=False)]
+            """Ids of words with a blank in front, from one call: a blank before a word always starts a piece."""
+            coded = encoder.encode(" " + " ".join(words), add_special_tokens=False)
+            ids = np.array(coded.ids, dtype="<u4")
+            starts = np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(ids))
+            ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+            cuts = [0, *np.searchsorted(starts, ends).tolist()]
+            return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
         def ids_of(text: str | None) -> bytes:
             if not text:
                 return end
-            words = spaced_words(text)
-            first, rest = words[0], words[1:]
-            missing = list({w for w in rest if w not in cache})
-            new: dict[str, bytes] = {}
-            if missing or first:
-                coded = fresh([first, *(" " + w for w in missing)])
-                first_ids = coded[0]
-                new = dict(zip(missing, coded[1:]))
+            first, *rest = spaced_words(text)
+            head = np.array(encoder.encode(first, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            found = list(map(cache.get, rest))
+            if None in found:
+                missing = list({w for w, ids in zip(rest, found) if ids is None})
+                new = dict(zip(missing, fresh(missing)))
+                found = [new[w] if ids is None else ids for w, ids in zip(rest, found)]
                 if len(cache) + len(new) <= CACHED_WORDS:
                     cache.update(new)
-                    new = {}
-            else:
-                first_ids = b""
-            if new:
-                return b"".join([first_ids, *[new[w] if w in new else cache[w] for w in rest], end])
-            return b"".join([first_ids, *[cache[w] for w in rest], end])
+            return b"".join([head, *found, end])
 
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
