@@ -17,37 +17,37 @@ PRED, REAL, N = "pred_atraso_aproximado_min", "real_atraso_aproximado_min", "n_r
 MIN_LINE, MIN_LINE_HOUR, MIN_SEGMENT, MIN_VEHICLE = 10, 5, 5, 10
 
 
+# an hour column already there, under either name, before one computed from the window
+HOUR_SOURCES = {"faixa_horaria": F.col, "hour": F.col, "janela_5min": F.hour}
+JUDGED = ["cod_linha", "cod_veiculo", "y_true", "y_pred"]
+
+
 def ensure_hour(frame: DataFrame) -> DataFrame:
-    """Hour of day as ``hour``, from whichever column carries it."""
-    if "faixa_horaria" in frame.columns:
-        return frame.withColumnRenamed("faixa_horaria", "hour")
-    if "hour" in frame.columns:
-        return frame
-    if "janela_5min" in frame.columns:
-        return frame.withColumn("hour", F.hour("janela_5min"))
-    raise ValueError("no column to take the hour from: faixa_horaria, hour or janela_5min")
+    """The frame with one hour-of-day column, ``hour``: the first source at hand is used, other hour columns leave."""
+    sources = [read(name) for name, read in HOUR_SOURCES.items() if name in frame.columns]
+    if not sources:
+        raise ValueError(f"no column to take the hour from: {', '.join(HOUR_SOURCES)}")
+    return frame.select(*[c for c in frame.columns if HOUR_SOURCES.get(c) is not F.col], sources[0].alias("hour"))
 
 
-def _complete() -> Column:
-    test = F.lit(True)
-    for c in ("cod_linha", "cod_veiculo", "y_true", "y_pred"):
-        test = test & F.col(c).isNotNull()
-    return test
+def _known_values() -> Column:
+    """How many of the judged columns are known in a row."""
+    return sum((F.col(c).isNotNull().cast("int") for c in JUDGED), F.lit(0))
 
 
 def clean_predictions(predictions: DataFrame) -> DataFrame:
     """Rows with line, vehicle, truth and prediction; fails on missing columns."""
-    absent = [c for c in ("cod_linha", "cod_veiculo", "y_true", "y_pred") if c not in predictions.columns]
+    absent = set(JUDGED).difference(predictions.columns)
     if absent:
-        raise ValueError(f"predictions lack columns {absent}")
-    return ensure_hour(predictions).where(_complete())
+        raise ValueError(f"predictions lack columns {sorted(absent)}")
+    return ensure_hour(predictions.dropna(subset=JUDGED))
 
 
 def dropped_predictions(predictions: DataFrame) -> DataFrame:
     """How many rows ``clean_predictions`` keeps and drops, in one pass."""
     return predictions.agg(
         F.count(F.lit(1)).alias("rows_total"),
-        F.count_if(~_complete()).alias("rows_dropped"),
+        F.count_if(_known_values() < len(JUDGED)).alias("rows_dropped"),
     )
 
 

@@ -52,7 +52,8 @@ def temporal_features(frame: DataFrame) -> DataFrame:
 def lag_features(frame: DataFrame, columns: list[str] | None = None, steps: int = 1) -> DataFrame:
     """Values of earlier windows of the same line and vehicle; one window sort serves all columns."""
     order = series_order()
-    return frame.withColumns({f"lag_{steps}_{c}": F.lag(c, steps).over(order) for c in columns or LAGGED})
+    return frame.withColumns({f"lag_{steps}_{c}": F.lag(c, steps).over(order)
+                              for c in (LAGGED if columns is None else columns)})
 
 
 def rolling_features(frame: DataFrame, columns: list[str], windows: int = 3) -> DataFrame:

@@ -15,6 +15,7 @@ from headwise.operators.headway import headway_delay
 from headwise.schemas import (
     CONTRACT_COLUMNS, DIRECTION_WINDOW, GOLD_COLUMNS, MISSING_DIRECTION, MISSING_KEY, SILVER_COLUMNS, SILVER_TABLES, VEHICLE_WINDOW,
 )
+from headwise.sources.staging import stage
 
 ContractFn = Callable[[dict[str, DataFrame]], DataFrame]
 
@@ -33,9 +34,25 @@ REQUIRED_SILVER = {
 
 
 def earliest(column: str) -> Column:
-    """First known value by event time, message and point: NULLs are skipped and ties cannot change the answer."""
-    order = F.when(F.col(column).isNotNull(), F.struct("event_ts", "event_id", "gps_idx"))
-    return F.min_by(column, order)
+    """First known value by event time, the smallest of those at the same second: NULLs are skipped. For rows that
+    ``_by_value`` has already reduced."""
+    return F.min_by(column, F.when(F.col(column).isNotNull(), F.struct("first_ts", column)))
+
+
+def _by_value(rows: DataFrame, values: list[str], *measures: Column) -> DataFrame:
+    """First step of a window aggregate that also wants the earliest value of some columns: one row per window and value.
+
+    Only numbers of fixed width are kept per group, so this step, which sees every raw row, hashes and never sorts; the
+    second step orders the few rows it leaves."""
+    return rows.groupBy(*VEHICLE_WINDOW, *values).agg(F.min("event_ts").alias("first_ts"), *measures)
+
+
+def _mean_parts(columns: list[str]) -> list[Column]:
+    return [part for c in columns for part in (F.sum(c).alias(f"sum_{c}"), F.count(c).alias(f"n_{c}"))]
+
+
+def _mean(column: str) -> Column:
+    return F.try_divide(F.sum(f"sum_{column}"), F.sum(f"n_{column}"))
 
 
 def _vehicle_windows(events: DataFrame, zone: str) -> DataFrame:
@@ -46,32 +63,30 @@ def _vehicle_windows(events: DataFrame, zone: str) -> DataFrame:
 
 def vehicle_window_context(gps_events: DataFrame, zone: str = "UTC") -> DataFrame:
     """Position, speed and GPS quality of a vehicle in a window. Every aggregate combines before the shuffle."""
-    return (
-        _vehicle_windows(gps_events, zone)
-        .withColumn("bad", gps_is_invalid().cast("double"))
-        .groupBy(*VEHICLE_WINDOW)
-        .agg(
-            F.coalesce(earliest("id_empresa"), F.lit(MISSING_KEY)).alias("id_empresa"),
-            F.coalesce(earliest("viagem_sentido"), F.lit(MISSING_DIRECTION)).alias("viagem_sentido"),
-            F.avg("latitude").alias("latitude_media"),
-            F.avg("longitude").alias("longitude_media"),
-            F.avg("velocidade").alias("velocidade_media"),
-            F.avg("bad").alias("gps_invalid_pct"),
-            F.count(F.lit(1)).alias("qtd_eventos_gps"),
-            F.max("numero_satelites").alias("max_satelites"),
-        )
+    averaged = ["latitude", "longitude", "velocidade", "bad"]
+    rows = _vehicle_windows(gps_events, zone).withColumn("bad", gps_is_invalid().cast("double"))
+    reduced = _by_value(
+        rows, ["id_empresa", "viagem_sentido"], *_mean_parts(averaged), F.count(F.lit(1)).alias("n"),
+        F.max("numero_satelites").alias("satelites"),
+    )
+    return reduced.groupBy(*VEHICLE_WINDOW).agg(
+        F.coalesce(earliest("id_empresa"), F.lit(MISSING_KEY)).alias("id_empresa"),
+        F.coalesce(earliest("viagem_sentido"), F.lit(MISSING_DIRECTION)).alias("viagem_sentido"),
+        _mean("latitude").alias("latitude_media"),
+        _mean("longitude").alias("longitude_media"),
+        _mean("velocidade").alias("velocidade_media"),
+        _mean("bad").alias("gps_invalid_pct"),
+        F.sum("n").alias("qtd_eventos_gps"),
+        F.max("satelites").alias("max_satelites"),
     )
 
 
 def stop_vehicle_windows(stop_events: DataFrame, zone: str = "UTC") -> DataFrame:
     """Direction and number of stop rows of a vehicle in a window (rows are points, not messages)."""
-    return (
-        _vehicle_windows(stop_events, zone)
-        .groupBy(*VEHICLE_WINDOW)
-        .agg(
-            F.coalesce(earliest("viagem_sentido"), F.lit(MISSING_DIRECTION)).alias("viagem_sentido"),
-            F.count(F.lit(1)).alias("qtd_eventos_stop"),
-        )
+    reduced = _by_value(_vehicle_windows(stop_events, zone), ["viagem_sentido"], F.count(F.lit(1)).alias("n"))
+    return reduced.groupBy(*VEHICLE_WINDOW).agg(
+        F.coalesce(earliest("viagem_sentido"), F.lit(MISSING_DIRECTION)).alias("viagem_sentido"),
+        F.sum("n").alias("qtd_eventos_stop"),
     )
 
 
@@ -193,16 +208,22 @@ def materialize_gold(
     contract_fn: ContractFn | None = None,
     zone: str = "UTC",
     partitions: int | None = None,
+    fit_until: str | dt.date | None = None,
 ) -> DataFrame:
-    """Gold with an optional user transform. A custom transform is checked against the contract and limits the keys.
+    """Gold with an optional user transform. A custom transform is computed once: what the contract checks of it is stored,
+    checked, and its keys limit those of the result.
 
-    ``partitions`` fixes the output layout by day and line; by default the size of the output decides.
+    ``partitions`` fixes the output layout by day and line; by default the size of the output decides. ``fit_until`` keeps
+    the reference headway to days up to that date.
     """
     contract = None
     if contract_fn is not None:
-        contract = contract_fn(tables)
+        given = contract_fn(tables)
+        check_contract_schema(given)
+        checked = [c for c in (*CONTRACT_COLUMNS, "latitude", "longitude") if c in given.columns]
+        contract = stage(given.select(*checked), "contract")
         assert_contract(contract)
-    gold = build_gold(tables, zone, contract)
+    gold = build_gold(tables, zone, contract, fit_until)
     return gold.repartition(partitions, "event_dt", "cod_linha") if partitions else gold
 
 

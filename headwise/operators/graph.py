@@ -193,7 +193,7 @@ def upsert(old: Graph, new: Graph) -> Graph:
 
 def purge(graph: Graph, labels: list[str] | None = None) -> Graph:
     """Remove nodes of the given labels with their edges. Edges carry both end labels, so this is a filter."""
-    gone = labels or DECISION_LABELS
+    gone = DECISION_LABELS if labels is None else labels
     return Graph(
         graph.nodes.where(~F.col("label").isin(gone)),
         graph.edges.where(~F.col("src_label").isin(gone) & ~F.col("dst_label").isin(gone)),

@@ -46,6 +46,23 @@ def headway_gaps(stops: DataFrame) -> DataFrame:
     )
 
 
+def headway_gap_rows(stops: DataFrame) -> DataFrame:
+    """The gap of every stop row to the previous stop row of its day, line and direction, by time, message and point.
+
+    The first row of a second carries that second's gap, the others follow it at once (gap zero); so only arrival seconds are
+    put in order, and the first row of each is found by a combining aggregate. Copies of a row share its gap.
+    """
+    rows = stops.where(F.col("event_ts").isNotNull() & F.col("event_dt").isNotNull()).select(
+        "event_id", "gps_idx", "id_ponto", "event_dt", or_missing("cod_linha").alias("cod_linha"),
+        direction_or_nd().alias("viagem_sentido"), "event_ts")
+    key = [*DIRECTION_DAY, "event_ts"]
+    first = rows.groupBy(*key).agg(F.min(F.struct("event_id", "gps_idx")).alias("first"))
+    gaps = headway_gaps(stops).select(*key, F.col("headway_diff_min").alias("gap"))
+    leads = F.col("first") == F.struct("event_id", "gps_idx")
+    return rows.join(first, key).join(gaps, key).select(
+        "event_id", "gps_idx", "id_ponto", *key, F.when(leads, F.col("gap")).otherwise(0.0).alias("headway_diff_min"))
+
+
 def headway_observed(stops: DataFrame, zone: str = "UTC") -> DataFrame:
     """Mean valid gap (0 < gap <= 180 minutes) and number of gaps per five-minute window.
 

@@ -153,27 +153,27 @@ def dq_nulls_types(tagged: DataFrame, columns: dict[str, list[str]] | None = Non
     counts = _measured(
         tagged, *_null_counts(tagged.columns), *[F.count_if(test).alias(name) for name, (_, test) in checks.items()]
     )
-    return _numeric_verdict(counts, columns or SILVER_COLUMNS, checks)
+    return _numeric_verdict(counts, SILVER_COLUMNS if columns is None else columns, checks)
 
 
 def dq_summary(tagged: DataFrame, columns: dict[str, list[str]] | None = None) -> DataFrame:
-    """Checks A, B and C side by side per table, with an overall verdict. B and C share one scan."""
+    """Checks A, B and C side by side per table, with an overall verdict. One scan: the other counts ride along with the one
+    distinct count of check A."""
     checks = numeric_checks(tagged.columns)
-    measured = _measured(
-        tagged, *_coordinate_counts(), *_null_counts(tagged.columns),
+    measured = tagged.groupBy("table_name").agg(
+        *_duplicate_counts(), *_coordinate_counts(), *_null_counts(tagged.columns),
         *[F.count_if(test).alias(name) for name, (_, test) in checks.items()],
     )
-    judged = _numeric_verdict(_coordinate_verdict(measured, "status_b"), columns or SILVER_COLUMNS, checks, "status_c")
-    side = judged.select(
-        "table_name", "coords_non_null_rows", "coords_null_rows", "invalid_coord_pair_rows", "pct_invalid_coord_pair",
-        "status_b", *[f"null_{k}_pct" for k in CHECKED_KEYS], "invalid_numeric_total_rows", "status_c",
-    )
+    known = SILVER_COLUMNS if columns is None else columns
+    judged = _numeric_verdict(
+        _coordinate_verdict(_with_duplicates(measured).withColumnRenamed("status", "status_a"), "status_b"), known, checks,
+        "status_c")
     fine = (F.col("status_a") == "ok") & (F.col("status_b") == "ok") & (F.col("status_c") == "ok")
-    return (
-        dq_duplicates(tagged).withColumnRenamed("status", "status_a")
-        .join(side, "table_name")
-        .withColumn("status_overall", F.when(fine, "ok").otherwise("warning"))
-    )
+    return judged.select(
+        "table_name", "rows_total", "event_dt_min", "event_dt_max", "key_rule", "duplicate_rows", "status_a",
+        "coords_non_null_rows", "coords_null_rows", "invalid_coord_pair_rows", "pct_invalid_coord_pair", "status_b",
+        *[f"null_{k}_pct" for k in CHECKED_KEYS], "invalid_numeric_total_rows", "status_c",
+    ).withColumn("status_overall", F.when(fine, "ok").otherwise("warning"))
 
 
 def _any_invalid_point() -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from headwise.schemas import CARD_FARE, POSITION, PREVIEW_COLUMNS, SILVER_COLUMNS, STOP_CALL
 from headwise.sources.lake import write_silver
+from headwise.sources.staging import stage
 
 
 def route_predicate(table: str) -> Column:
@@ -27,14 +28,15 @@ def silver_table(points: DataFrame, table: str) -> DataFrame:
     return points.where(route_predicate(table)).select(*SILVER_COLUMNS[table])
 
 
-def silver_tables(points: DataFrame, names: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def silver_tables(points: DataFrame, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """All four tables, or the named ones."""
-    return {table: silver_table(points, table) for table in names or SILVER_COLUMNS}
+    return {table: silver_table(points, table) for table in (SILVER_COLUMNS if names is None else names)}
 
 
 def ingest(points: DataFrame, base: str, mode: str = "overwrite") -> dict[str, str]:
-    """Write the four tables. The caller decides whether ``points`` is staged first or parsed four times."""
-    return {table: write_silver(frame, base, table, mode) for table, frame in silver_tables(points).items()}
+    """Write the four tables. The points are stored once, so the feed is parsed once, and every table is cut from the copy."""
+    stored = stage(points, "points")
+    return {table: write_silver(frame, base, table, mode) for table, frame in silver_tables(stored).items()}
 
 
 def tag_tables(points: DataFrame) -> DataFrame:
@@ -82,6 +84,27 @@ def validate_silver(table: DataFrame, name: str, approximate: bool = False, fail
     return report
 
 
+def validate_tagged(tagged: DataFrame) -> DataFrame:
+    """The validation of all tables in one scan and one shuffle of reduced rows: each distinct count becomes a grouping.
+
+    Rows are first grouped by table, kind of value and value (kind 0 is the row itself, of which only the count and the time
+    range are kept); the second step counts the values of each kind."""
+    wanted = sorted({(target, source) for pairs in VALIDATED_DISTINCT.values() for target, source in pairs.items()})
+    asked = {target: [t for t, pairs in VALIDATED_DISTINCT.items() if target in pairs] for target, _ in wanted}
+    kinds = [F.struct(F.lit("").alias("kind"), F.lit(None).cast("string").alias("value"))] + [
+        F.when(F.col("table_name").isin(asked[target]) & F.col(source).isNotNull(), F.struct(
+            F.lit(target).alias("kind"), F.col(source).cast("string").alias("value"))) for target, source in wanted]
+    values = tagged.select("table_name", "event_ts", F.explode(F.array_compact(F.array(*kinds))).alias("k")).groupBy(
+        "table_name", "k.kind", "k.value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_ts").alias("low"), F.max("event_ts").alias("high"))
+    whole = F.col("kind") == ""
+    return values.groupBy("table_name").agg(
+        F.sum(F.when(whole, F.col("n"))).alias("rows"), F.min(F.when(whole, F.col("low"))).alias("min_ts"),
+        F.max(F.when(whole, F.col("high"))).alias("max_ts"),
+        *[F.when(F.first("table_name").isin(asked[target]), F.count_if(F.col("kind") == target)).alias(target)
+          for target, _ in wanted])
+
+
 def preview(points: DataFrame, rows: int) -> DataFrame:
     return points.select(*PREVIEW_COLUMNS).limit(rows)
 

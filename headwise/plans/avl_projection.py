@@ -165,7 +165,7 @@ def parsed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return silver_tables(points(spark, sf_dir), names)
+    return silver_tables(points(spark, sf_dir), names or None)
 
 
 def gold_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -63,11 +63,11 @@ def _labelled(spark, sf):
 def _predictions(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(model, baseline) on the test part, both written once."""
     labelled = _labelled(spark, sf)
-    return stage(P.second_model(labelled), "model"), stage(P.baseline_predictions(labelled), "baseline")
+    return P.second_model(labelled), stage(P.baseline_predictions(labelled), "baseline")
 
 
 def _model(spark, sf) -> DataFrame:
-    return stage(P.second_model(_labelled(spark, sf)), "model")
+    return P.second_model(_labelled(spark, sf))  # a narrow projection of a stored table
 
 
 def _aggregates(spark, sf, compared: bool = True) -> dict[str, DataFrame]:
@@ -121,6 +121,20 @@ def silver_write_readback(spark, sf):
     return lake.read_partitioned(spark, path, table.schema)
 
 
+@query
+def silver_reingest(spark, sf):
+    """A day written again with another company, and another message type for half of its rows: nothing old is left."""
+    base = fresh_path(spark, "silver")
+    table = stage(SV.silver_table(AVL.points(spark, sf), "stop_events"), "stop-events")
+    lake.write_silver(table, base, "stop_events")
+    even = F.col("event_id").cast("bigint") % 2 == 0
+    corrected = lake.between_days(table, "2024-01-02", "2024-01-02").withColumns({
+        "id_empresa": F.lit(99), "tipo_mensagem": F.when(even, F.lit("AVL_EVT_CORRIGIDO")).otherwise(F.col("tipo_mensagem"))})
+    path = lake.write_silver(stage(corrected, "stop-events-corrected"), base, "stop_events")
+    return lake.read_partitioned(spark, path, table.schema).select(
+        "event_id", "gps_idx", "event_dt", "tipo_mensagem", "id_empresa")
+
+
 def _written_gold(spark, sf) -> str:
     return lake.write_gold(_gold(spark, sf), fresh_path(spark, "final_table"))
 
@@ -239,10 +253,7 @@ def canonical_timestamp(spark, sf):
 
 @query
 def bucket_5min(spark, sf):
-    """Window of each row and how many rows share it; counted by aggregate and join, not by a window over raw rows."""
-    rows = AVL.points(spark, sf).select("event_id", "gps_idx", window_start(F.col("event_ts")).alias("janela_5min"))
-    sizes = rows.groupBy("janela_5min").agg(F.count(F.lit(1)).alias("rows_in_window"))
-    return rows.join(sizes, "janela_5min")
+    return AVL.points(spark, sf).select("event_id", "gps_idx", window_start(F.col("event_ts")).alias("janela_5min"))
 
 
 @query
@@ -314,6 +325,15 @@ def gold_final_table(spark, sf):
     return G.materialize_gold(AVL.gold_inputs(spark, sf))
 
 
+@query
+def gold_custom_contract(spark, sf):
+    """Gold limited to the windows of a user's transform, with a reference headway that knows the first day only."""
+    def first_half_hours(tables):
+        return G.contract_table(tables).where(F.minute("janela_5min") < 30)
+
+    return G.materialize_gold(AVL.tables(spark, sf), first_half_hours, fit_until="2024-01-01")
+
+
 @query
 def event_alignment(spark, sf):
     return G.align_events(AVL.tables(spark, sf))
@@ -339,6 +359,11 @@ def headway_gaps(spark, sf):
     return H.headway_gaps(SV.silver_table(AVL.points(spark, sf), "stop_events"))
 
 
+@query
+def headway_gap_rows(spark, sf):
+    return H.headway_gap_rows(SV.silver_table(AVL.points(spark, sf), "stop_events"))
+
+
 @query
 def headway_observed(spark, sf):
     return H.headway_observed(SV.silver_table(AVL.points(spark, sf), "stop_events"))
@@ -362,8 +387,7 @@ def contract_validation(spark, sf):
 # --- quality ----------------------------------------------------------------------------------------------------------
 @query
 def silver_validation(spark, sf):
-    tables = AVL.tables(spark, sf)
-    return reports.union_reports([SV.validate_silver(tables[name], name) for name in SILVER_COLUMNS])
+    return SV.validate_tagged(_tagged(spark, sf))
 
 
 @query
@@ -671,7 +695,11 @@ def graph_purge(spark, sf):
 
 @query
 def graph_unique_violations(spark, sf):
-    return GR.unique_violations(_graph(spark, sf).nodes)
+    """Nodes of two runs put together without merging: what both runs rank is there twice."""
+    model, baseline = _predictions(spark, sf)
+    runs = [D.line_ranking(D.clean_predictions(p), name, SUPPORT["min_line"]) for p, name in ((model, "model"), (baseline, "baseline"))]
+    nodes = [GR.line_rank_graph(ranking, name).nodes for ranking, name in zip(runs, (RUN, "run_baseline"))]
+    return GR.unique_violations(nodes[0].unionByName(nodes[1], allowMissingColumns=True))
 
 
 @query
@@ -737,4 +765,6 @@ def semantic_table_class(spark, sf):
 
 @query
 def semantic_rule_hits(spark, sf):
-    return S.semantic_rule_hits(AVL.points(spark, sf))
+    """Some event times are blanked, as in ``canonical_timestamp``, so that every rule has hits."""
+    blanked = F.when(F.col("event_id").cast("bigint") % 13 != 0, F.col("event_ts"))
+    return S.semantic_rule_hits(AVL.points(spark, sf).withColumn("event_ts", blanked))

@@ -113,8 +113,8 @@ select o.event_dt, o.cod_linha, o.viagem_sentido, o.janela_5min, headway_observa
 from observed o join reference r using (cod_linha, viagem_sentido, faixa_horaria)"""
 CTES["vehicle_ctx"] = f"""
 select event_dt, coalesce(cod_linha, -1) as cod_linha, coalesce(cod_veiculo, -1) as cod_veiculo, janela_5min,
-  coalesce(arg_min(id_empresa, row(event_ts, event_id, gps_idx)) filter (where id_empresa is not null), -1) as id_empresa,
-  coalesce(arg_min(viagem_sentido, row(event_ts, event_id, gps_idx)) filter (where viagem_sentido is not null), 'ND')
+  coalesce(arg_min(id_empresa, row(event_ts, id_empresa)) filter (where id_empresa is not null), -1) as id_empresa,
+  coalesce(arg_min(viagem_sentido, row(event_ts, viagem_sentido)) filter (where viagem_sentido is not null), 'ND')
     as viagem_sentido,
   avg(latitude) as latitude_media, avg(longitude) as longitude_media, avg(velocidade) as velocidade_media,
   avg(case when {BAD} then 1.0::double else 0.0::double end) as gps_invalid_pct,
@@ -122,7 +122,7 @@ select event_dt, coalesce(cod_linha, -1) as cod_linha, coalesce(cod_veiculo, -1)
 from pts where gps_idx is not null group by 1, 2, 3, 4"""
 CTES["stop_win"] = """
 select event_dt, cod_linha, cod_veiculo, janela_5min,
-  coalesce(arg_min(sentido_raw, row(event_ts, event_id, gps_idx)) filter (where sentido_raw is not null), 'ND')
+  coalesce(arg_min(sentido_raw, row(event_ts, sentido_raw)) filter (where sentido_raw is not null), 'ND')
     as viagem_sentido,
   count(*) as qtd_eventos_stop
 from stop_fb group by 1, 2, 3, 4"""
@@ -427,7 +427,30 @@ from pts""",
 select event_id, gps_idx, case when raw_id % 13 <> 0 then make_timestamp(event_ts * 1000000)
   when raw_id % 26 <> 0 then created_at_origem else created_at_ingestao end as canonical_ts
 from pts""",
-    "bucket_5min": "select event_id, gps_idx, janela_5min, count(*) over (partition by janela_5min) as rows_in_window from pts",
+    "silver_reingest": """
+select event_id, gps_idx, event_dt,
+  case when event_dt = date '2024-01-02' and cast(event_id as bigint) % 2 = 0 then 'AVL_EVT_CORRIGIDO' else tipo_mensagem end
+    as tipo_mensagem,
+  case when event_dt = date '2024-01-02' then 99 else id_empresa end as id_empresa from stop_events""",
+    "headway_gap_rows": """
+select event_id, gps_idx, id_ponto, event_dt, cod_linha, viagem_sentido, event_ts,
+  (event_ts - lag(event_ts) over w) / 60.0::double as headway_diff_min
+from (select event_id, gps_idx, id_ponto, event_dt, coalesce(cod_linha, -1) as cod_linha,
+        coalesce(viagem_sentido, 'ND') as viagem_sentido, event_ts from stop_events)
+window w as (partition by event_dt, cod_linha, viagem_sentido order by event_ts, event_id, gps_idx nulls first)""",
+    "gold_custom_contract": f"""
+with ref1 as (select cod_linha, viagem_sentido, faixa_horaria, quantile_disc(headway_observado_min, 0.5) as ref
+  from observed where event_dt <= date '2024-01-01' group by all)
+select b.event_dt, b.cod_linha, b.cod_veiculo, b.id_empresa, b.viagem_sentido, b.janela_5min,
+  {', '.join(f'round(b.{c}, {R}) as {c}' for c in ('latitude_media', 'longitude_media', 'velocidade_media'))},
+  round(coalesce(b.gps_invalid_pct, 0.0::double), {R}) as gps_invalid_pct, coalesce(b.qtd_eventos_gps, 0) as qtd_eventos_gps,
+  b.qtd_eventos_stop, b.max_satelites, round(o.headway_observado_min, {R}) as headway_observado_min,
+  round(ref, {R}) as headway_referencia_min,
+  round(case when ref is not null then greatest(0.0::double, o.headway_observado_min - ref) end, {R}) as atraso_aproximado_min
+from base b left join observed o using (event_dt, cod_linha, viagem_sentido, janela_5min)
+left join ref1 r on r.cod_linha = b.cod_linha and r.viagem_sentido = b.viagem_sentido and r.faixa_horaria = o.faixa_horaria
+where minute(b.janela_5min) < 30""",
+    "bucket_5min": "select event_id, gps_idx, janela_5min from pts",
     "gps_invalid_flag": f"select event_id, gps_idx, gps_sinal, latitude, longitude, {BAD} as gps_is_invalid from pts",
     "contract_table": """
 select event_dt, cod_linha, cod_veiculo, make_timestamp((event_ts // 300) * 300 * 1000000) as janela_5min,
@@ -659,7 +682,11 @@ left join model_line l on g.label = 'Linha' and g.id = cast(l.cod_linha as varch
 left join model_veh v on g.label = 'Veiculo' and g.id = cast(v.cod_veiculo as varchar)
 where g.label in ('Linha', 'Veiculo')""",
     "graph_unique_violations": """
-select label, count(*) as nodes, count(*) as distinct_ids, cast(0 as bigint) as violations from graph_nodes group by 1""",
+select label, count(*) as nodes, count(distinct id) as distinct_ids, count(distinct id) filter (where copies > 1) as violations
+from (select label, id, count(*) over (partition by label, id) as copies from (
+  select 'Linha' as label, cast(cod_linha as varchar) as id from model_line
+  union all select 'Linha', cast(cod_linha as varchar) from baseline_line))
+group by 1""",
     "gq_top_lines": f"select cod_linha, rank, {MEAN3} from model_line order by rank limit 10",
     "gq_top_hours": f"select hour, rank, {MEAN3} from model_hour order by rank limit 10",
     "gq_top_vehicles": f"""
@@ -694,7 +721,7 @@ select table_name as silver_table, case table_name when 'gps_events' then 'tcc:E
     "semantic_rule_hits": f"""
 select 'tcc:RegraFallbackChaves' as rule_id, 'R_FALLBACK_KEYS_01' as code, 1 as priority, count(*) as rows_checked,
   {count_if('id_empresa is null or cod_linha is null or cod_veiculo is null', 'rows_touched')} from pts
-union all select 'tcc:RegraTimestampCanonico', 'R_CANONICAL_TS_01', 2, count(*), {count_if('event_ts is null', 'x')} from pts
+union all select 'tcc:RegraTimestampCanonico', 'R_CANONICAL_TS_01', 2, count(*), {count_if('cast(event_id as bigint) % 13 = 0', 'x')} from pts
 union all select 'tcc:RegraGPSInvalido', 'R_GPS_INVALID_01', 3, count(*), {count_if(BAD, 'x')} from pts""",
 }
 

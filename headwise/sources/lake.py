@@ -23,11 +23,6 @@ def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_bronze(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The same parse for JSON text that is already in a column."""
-    return lines.select(F.from_json(column, BRONZE_DDL).alias("m")).select("m.*")
-
-
 def _day(value: str | dt.date) -> Column:
     # a bad date fails here on the driver, not as an empty result
     return F.lit(value if isinstance(value, dt.date) else dt.date.fromisoformat(value))
@@ -42,13 +37,35 @@ def between_days(frame: DataFrame, first: str | dt.date | None = None, last: str
     return frame
 
 
+def _partition_folder(values: tuple) -> str:
+    """Path of a partition below its table, as the writer names it."""
+    shown = ["__HIVE_DEFAULT_PARTITION__" if v is None or v == "" else str(v) for v in values]
+    return "/".join(f"{column}={value}" for column, value in zip(SILVER_PARTITIONS, shown))
+
+
+def _drop_stale_folders(spark: SparkSession, path: str, written: set[str]) -> None:
+    """Remove the partitions of the written days that this write did not touch: what a corrected row has left behind."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in sorted({folder.split("/")[0] for folder in written}):
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}" + "/*" * (len(SILVER_PARTITIONS) - 1))
+        for found in files.globStatus(pattern) or []:
+            folder = found.getPath()
+            if "/".join(folder.toString().split("/")[-len(SILVER_PARTITIONS):]) not in written:
+                files.delete(folder, True)
+
+
 def write_silver(table: DataFrame, base: str, name: str, mode: str = "overwrite", fmt: str = "parquet") -> str:
     """Write one Silver table partitioned by day, message type and company; returns its path.
 
-    Only the days present in ``table`` are replaced. REBALANCE gathers each partition value into few files and lets
-    adaptive execution split a value that holds a large share of the rows over several writers.
+    An overwrite replaces the days present in ``table`` as a whole: partitions that the rows now fill are swapped, and the
+    other partitions of those days go after that. Other days stay. The partitions present are asked for once (days, message
+    types and companies: a small set), so ``table`` should be cheap to read twice. REBALANCE gathers each partition value into
+    few files and lets adaptive execution split a value that holds a large share of the rows over several writers.
     """
     path = f"{base.rstrip('/')}/{name}"
+    spark, replacing = table.sparkSession, mode == "overwrite"
+    written = {_partition_folder(tuple(r)) for r in table.select(*SILVER_PARTITIONS).distinct().collect()} if replacing else set()
     (
         table.hint("rebalance", *SILVER_PARTITIONS)
         .write.mode(mode)
@@ -57,6 +74,8 @@ def write_silver(table: DataFrame, base: str, name: str, mode: str = "overwrite"
         .format(fmt)
         .save(path)
     )
+    if replacing:
+        _drop_stale_folders(spark, path, written)
     return path
 
 
