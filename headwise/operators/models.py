@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +14,17 @@ from pyspark.sql import types as T
 from headwise.operators.forecast import (
     line_hour_metrics, test_rows, train_rows, vehicle_day_metrics,
 )
-from headwise.operators.stats import error_metrics
+from headwise.operators.stats import error_metrics, exact_median
 from headwise.schemas import PREDICTION_COLUMNS
+from headwise.sources.staging import stage
 
 SEED = 42
+VALIDATION = "is_validation"
+KEPT_WITH_VECTORS = [c for c in PREDICTION_COLUMNS if c != "y_pred"]
 # fixed values: features of the window that are known when the next one is predicted
 WINDOW_FEATURES = [
-    "velocidade_media", "gps_invalid_pct", "qtd_eventos_gps", "qtd_eventos_stop", "max_satelites", "hour",
-    "day_of_week",
+    "velocidade_media", "gps_invalid_pct", "qtd_eventos_gps", "qtd_eventos_stop", "max_satelites",
+    "headway_referencia_min", "hour", "day_of_week", "is_weekend",
 ]
 LAG_FEATURES = [
     "lag_1_velocidade_media", "lag_1_gps_invalid_pct", "lag_1_qtd_eventos_gps", "lag_1_qtd_eventos_stop",
@@ -70,10 +73,18 @@ def as_doubles(frame: DataFrame, columns: list[str]) -> DataFrame:
     return frame.withColumns({f"x_{c}": F.col(c).cast("double") for c in columns})
 
 
-def imputer(columns: list[str], strategy: str = "median") -> Imputer:
-    return Imputer(
-        strategy=strategy, inputCols=[f"x_{c}" for c in columns], outputCols=[f"filled_{c}" for c in columns]
-    )
+def training_medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact median of every column over the training rows, all columns in one distributed pass; zero where none is known.
+    One number per feature reaches the driver."""
+    known = as_doubles(train, columns).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"x_{c}").alias("value")) for c in columns])).alias("p")).select("p.*")
+    found = {r["feature"]: r["m"] for r in exact_median(known, "value", ["feature"], "m").collect()}
+    return {c: found.get(c, 0.0) for c in columns}
+
+
+def filled(frame: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """Every column again as ``filled_<name>``, a double, with the given value where it is NULL."""
+    return frame.withColumns({f"filled_{c}": F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()})
 
 
 def category_indexer(columns: list[str]) -> StringIndexer:
@@ -86,39 +97,48 @@ def category_indexer(columns: list[str]) -> StringIndexer:
 
 def regressor(kind: str, **params):
     common = {"featuresCol": "features", "labelCol": "y_true", "predictionCol": "y_pred"}
-    if kind == "gbt":
-        return GBTRegressor(seed=SEED, **common, **{"maxIter": 20, "maxDepth": 5, **params})
-    if kind == "rf":
-        return RandomForestRegressor(seed=SEED, **common, **{"numTrees": 100, "maxDepth": 8, **params})
+    if kind == "gbt":  # up to 100 rounds of up to 32 leaves; rounds end early once the validation part stops gaining
+        return GBTRegressor(seed=SEED, validationIndicatorCol=VALIDATION, **common, **{
+            "maxIter": 100, "maxDepth": 5, **params})
+    if kind == "rf":  # trees as deep as the library allows
+        return RandomForestRegressor(seed=SEED, **common, **{"numTrees": 100, "maxDepth": 30, "maxMemoryInMB": 1024, **params})
     if kind == "linear":
         return LinearRegression(**common, **params)
     raise ValueError(f"unknown regressor {kind!r}")
 
 
-def forecast_pipeline(
-    kind: str, features: list[str], categories: list[str] | None = None, impute: str = "median", scale: bool = True,
-    **params,
-) -> Pipeline:
-    """Impute, encode, standardise, regress: one pipeline, so that fitting it on the training part fits every step there."""
-    check_features([*features, *(categories or [])])
-    stages = [imputer(features, impute)]
-    inputs = [f"filled_{c}" for c in features]
+def preparation(features: list[str], categories: list[str] | None = None, scale: bool = True) -> Pipeline:
+    """Encode, assemble, standardise. Categories become plain ordinal numbers, most frequent first: without the nominal mark a
+    tree splits them by order and their number has no limit."""
+    check_features([*features, *([] if categories is None else categories)])
+    stages, inputs = [], [f"filled_{c}" for c in features]
     if categories:
         stages.append(category_indexer(categories))
-        inputs += [f"{c}_index" for c in categories]
+        plain = ", ".join(f"{c}_index + 0.0D as {c}_code" for c in categories)
+        stages.append(SQLTransformer(statement=f"select *, {plain} from __THIS__"))
+        inputs += [f"{c}_code" for c in categories]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="raw_features" if scale else "features"))
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-    return Pipeline(stages=[*stages, regressor(kind, **params)])
+    return Pipeline(stages=stages)
 
 
 def fit_predict(
-    labelled: DataFrame, kind: str, features: list[str], categories: list[str] | None = None, **params
+    labelled: DataFrame, kind: str, features: list[str], categories: list[str] | None = None, scale: bool = True, **params
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the training part and predict the test part. ``labelled`` should be staged: training reads it repeatedly."""
-    ready = as_doubles(labelled, features)
-    model = forecast_pipeline(kind, features, categories, **params).fit(train_rows(ready))
-    return model, model.transform(test_rows(ready)).select(*PREDICTION_COLUMNS)
+    """Fit every step on the training part and predict the test part.
+
+    The assembled vectors are stored once, since training reads them many times. A boosted model also sees the validation
+    part, but only to decide when to stop."""
+    model = regressor(kind, **params)
+    check_features(features)
+    ready = filled(labelled, training_medians(train_rows(labelled), features))
+    prepared = preparation(features, categories, scale).fit(train_rows(ready))
+    vectors = stage(prepared.transform(ready).select(
+        *KEPT_WITH_VECTORS, "split", (F.col("split") == "val").alias(VALIDATION), "features"), "vectors")
+    fitted = model.fit(vectors.where(F.col("split").isin("train", "val")) if kind == "gbt" else train_rows(vectors))
+    predictions = fitted.transform(test_rows(vectors)).select(*PREDICTION_COLUMNS)
+    return PipelineModel(stages=[*prepared.stages, fitted]), predictions
 
 
 def run_forecast(
@@ -126,6 +146,7 @@ def run_forecast(
 ) -> ForecastResult:
     """The five outputs of a model run, checked against the contract."""
     _, predictions = fit_predict(labelled, kind, features, **params)
+    predictions = stage(predictions, "predictions")  # five outputs read them
 
     def metrics(frame: DataFrame, name: str) -> DataFrame:
         return error_metrics(frame.withColumn("model_name", F.lit(name)), ["model_name"])
@@ -145,14 +166,14 @@ def fill_means(frame: DataFrame, columns: list[str]) -> DataFrame:
     """First-round filling: mean for numbers, 'Unknown' for text, fitted on everything it is given."""
     ready = as_doubles(frame, columns)
     texts = [f.name for f in frame.schema.fields if isinstance(f.dataType, T.StringType)]
-    filled = imputer(columns, "mean").fit(ready).transform(ready)
-    return filled.fillna("Unknown", subset=texts).drop(*[f"x_{c}" for c in columns])
+    mean = Imputer(strategy="mean", inputCols=[f"x_{c}" for c in columns], outputCols=[f"filled_{c}" for c in columns])
+    out = mean.fit(ready).transform(ready)
+    return out.fillna("Unknown", subset=texts).drop(*[f"x_{c}" for c in columns])
 
 
 def fill_medians(labelled: DataFrame, columns: list[str]) -> DataFrame:
-    """Training medians into every part of the split."""
-    ready = as_doubles(labelled, columns)
-    return imputer(columns).fit(train_rows(ready)).transform(ready).drop(*[f"x_{c}" for c in columns])
+    """Exact training medians into every part of the split."""
+    return filled(labelled, training_medians(train_rows(labelled), columns))
 
 
 def encode_categories(labelled: DataFrame, columns: list[str]) -> DataFrame:

@@ -574,7 +574,8 @@ def gbt_forecast(spark, sf):
 
 @query
 def rf_forecast(spark, sf):
-    return ML.fit_predict(_features(spark, sf), "rf", ML.WINDOW_FEATURES, ["cod_linha"], scale=False)[1]
+    codes = ["cod_linha", "cod_veiculo", "viagem_sentido"]
+    return ML.fit_predict(_features(spark, sf), "rf", ML.WINDOW_FEATURES, codes, scale=False)[1]
 
 
 @query
@@ -582,6 +583,33 @@ def linear_forecast(spark, sf):
     return ML.fit_predict(_features(spark, sf), "linear", ML.CALENDAR_FEATURES)[1]
 
 
+@query
+def linear_two_features(spark, sf):
+    """A fitted model whose solution SQL can give as well: least squares on hour and minute."""
+    return _fitted_line(spark, sf).withColumn("y_pred", F.round("y_pred", 6))
+
+
+def _fitted_line(spark, sf) -> DataFrame:
+    return ML.fit_predict(_features(spark, sf), "linear", ["hour", "minute"], solver="normal")[1]
+
+
+@query
+def fitted_line_ranking(spark, sf):
+    """The fitted model carried through to a decision table."""
+    ranking = D.line_ranking(D.clean_predictions(_fitted_line(spark, sf)), "linear", 10)
+    return ranking.drop("rank").withColumn(D.PRED, F.round(D.PRED, 6))
+
+
+@query
+def model_keys(spark, sf):
+    """Rows that each kind of model predicts, by kind; short fits, as only the keys are compared."""
+    features = _features(spark, sf)
+    sizes = {"linear": {}, "gbt": {"maxIter": 2}, "rf": {"numTrees": 2, "maxDepth": 4}}
+    frames = [ML.fit_predict(features, kind, ML.WINDOW_FEATURES, **size)[1].select(F.lit(kind).alias("kind"), *KEY, "y_true")
+              for kind, size in sizes.items()]
+    return frames[0].union(frames[1]).union(frames[2])
+
+
 # --- decisions --------------------------------------------------------------------------------------------------------
 @query
 def pred_line_hour(spark, sf):

@@ -220,6 +220,16 @@ from model_lh m left join (
 using (cod_linha, hour)"""
 CTES["scored"] = """
 select 'model' as model_name, y_true, y_pred from model union all select 'baseline', y_true, y_pred from baseline"""
+CTES["line_sums"] = """
+select avg(y_true) as my, avg(h) as mh, avg(m) as mm, covar_pop(h, h) as hh, covar_pop(m, m) as mm2, covar_pop(h, m) as hm,
+  covar_pop(h, y_true) as hy, covar_pop(m, y_true) as m_y
+from (select y_true, cast(hour(janela_5min) as double) as h, cast(minute(janela_5min) as double) as m from train)"""
+CTES["fitted_line"] = """
+select t.*, my + (mm2 * hy - hm * m_y) / (hh * mm2 - hm * hm) * (hour(janela_5min) - mh)
+  + (hh * m_y - hm * hy) / (hh * mm2 - hm * hm) * (minute(janela_5min) - mm) as y_pred
+from test t cross join line_sums"""
+_FILLED = ["lag_1_velocidade_media", "lag_1_gps_invalid_pct", "lag_1_qtd_eventos_gps", "lag_1_qtd_eventos_stop",
+           "lag_1_headway_referencia_min"]
 CTES["constant"] = "select t.*, (select m0 from med_g) as y_pred from test t"
 
 ERRORS = f"""round(avg(abs(y_true - y_pred)), {R}) as mae, round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), {R}) as rmse,
@@ -450,6 +460,24 @@ select b.event_dt, b.cod_linha, b.cod_veiculo, b.id_empresa, b.viagem_sentido, b
 from base b left join observed o using (event_dt, cod_linha, viagem_sentido, janela_5min)
 left join ref1 r on r.cod_linha = b.cod_linha and r.viagem_sentido = b.viagem_sentido and r.faixa_horaria = o.faixa_horaria
 where minute(b.janela_5min) < 30""",
+    "impute_median": f"""
+with f as (select event_dt, janela_5min, cod_linha, cod_veiculo, split, {', '.join(f'l.{c}' for c in _FILLED)}
+  from labelled join (select event_dt, janela_5min, cod_linha, cod_veiculo, {', '.join(
+      f"cast(lag({c.removeprefix('lag_1_')}) over {WIN} as double) as {c}" for c in _FILLED)} from gold) l
+  using (event_dt, janela_5min, cod_linha, cod_veiculo)),
+m as (select {', '.join(f"median({c}) as {c}" for c in _FILLED)} from f where split = 'train')
+select event_dt, janela_5min, cod_linha, cod_veiculo, split, {', '.join(
+    f"round(coalesce(f.{c}, m.{c}, 0.0::double), {R}) as filled_{c}" for c in _FILLED)} from f, m""",
+    "linear_two_features": f"""
+select event_dt, janela_5min, cod_linha, cod_veiculo, faixa_horaria, round(y_true, {R}) as y_true, round(y_pred, 6) as y_pred
+from fitted_line""",
+    "fitted_line_ranking": f"""
+select 'linear' as prediction_source, cod_linha, round(avg(y_pred), 6) as pred_atraso_aproximado_min,
+  round(avg(y_true), {R}) as real_atraso_aproximado_min, count(*) as n_registros
+from fitted_line group by 2 having count(*) >= 10""",
+    "model_keys": " union all ".join(
+        f"select '{k}' as kind, event_dt, janela_5min, cod_linha, cod_veiculo, round(y_true, {R}) as y_true from test"
+        for k in ("linear", "gbt", "rf")),
     "bucket_5min": "select event_id, gps_idx, janela_5min from pts",
     "gps_invalid_flag": f"select event_id, gps_idx, gps_sinal, latitude, longitude, {BAD} as gps_is_invalid from pts",
     "contract_table": """
