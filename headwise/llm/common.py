@@ -8,10 +8,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SUM_BLOCK = 1 << 12
 MARKS = 1 << 20
 ODD_BLANK = re.compile(r" (?=\s|\Z)")
@@ -28,16 +29,15 @@ def text_blocks(
     """Cut Arrow batches into runs of rows with about ``limit`` bytes of text (one row at least), so that numpy
     intermediates stay small whatever the batch size. Texts come as UTF-8 bytes, null as None."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.binary()).to_pylist()
+        texts = batch.column(column).cast(pa.binary())
         start = size = 0
-        for i, text in enumerate(texts):
-            length = len(text) if text else 0
+        for i, length in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
             if i > start and size + length > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+                yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
                 start, size = i, 0
             size += length
-        if texts:
-            yield batch.slice(start), texts[start:]
+        if batch.num_rows:
+            yield batch.slice(start), texts.slice(start).to_pylist()
 
 
 def joined_bytes(texts: list[bytes | None], separator: bytes = b" ") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -168,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, per_class: int = 60
                                   names=["quality", "x"])
 
     sample, shares = sampled_texts(docs, wanted, "quality", counts, per_class)
+    constant = float(counts[1] / (counts[0] + counts[1]))
     rows = sample.select("text", "quality").mapInArrow(features, "quality int, x binary").collect()
+    if len({r.quality for r in rows}) < 2:
+        return QualityModel(None, [], 1.0, constant)
     rows.sort(key=lambda r: (r.quality, bytes(r.x)))
     order = np.random.default_rng(seed).permutation(len(rows))
     x = np.stack([np.frombuffer(bytes(rows[i].x), dtype="<f4") for i in order]).astype(float)

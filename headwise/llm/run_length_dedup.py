@@ -31,9 +31,9 @@ from headwise.llm.common import fingerprint64, joined_bytes, span_hashes, summed
 from headwise.sources.staging import stage
 
 LENGTH, GRAM = 200, 64
-PIECE = 1 << 20
+PIECE = 1 << 18
 COUNTERS, CROWDED = 1 << 22, 2048
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 MARKS = 1 << 20
 
 
@@ -249,7 +249,7 @@ def _indexed(length: int):
 def _bodies(length: int):
     """Task function: texts with the contexts wanted of them; one row per context with its bytes."""
     def cut(batches):
-        for batch in batches:
+        for batch in (part.slice(low, 256) for part in batches for low in range(0, part.num_rows, 256)):
             texts, wanted = batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist()
             rids, rows, held = batch.column("rid").to_pylist(), [], 0
             for i, (rid, list_) in enumerate(zip(rids, wanted)):
@@ -347,15 +347,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """The columns of ``docs`` with n_bytes, spans (sorted, disjoint byte ranges removed) and kept (the remaining bytes; with
-    ``as_text`` a string, from which what is left of characters cut in two is dropped)."""
-    keyed = with_rid(docs)
+    ``as_text`` a string, from which what is left of characters cut in two is dropped). Columns of ``docs`` that bear one of
+    these names, or the name rid, are left out."""
+    kept = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "rid")]
+    keyed = with_rid(docs.select(*kept))
     spans = stage(repeated_spans(keyed, length).groupBy("rid").agg(
         F.collect_list(F.struct("begin", "until")).alias("spans")), "repeated-spans")
     may, never = _in(keyed, spans)
     frame = may.join(spans.hint("merge"), "rid", "left").unionByName(
         never.withColumn("spans", F.lit(None).cast("array<struct<begin:bigint,until:bigint>>")))
-    kept = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + (
         f", n_bytes bigint, spans array<struct<begin:bigint,until:bigint>>, kept {'string' if as_text else 'binary'}")
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("until", pa.int64())]))
 
