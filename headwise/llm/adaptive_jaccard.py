@@ -246,26 +246,24 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     members = lists.select("h", "sid", "n", "pos", "need").join(joined, c("sid") == c("node"), "left").select(
         "h", "sid", "n", "pos", "need", F.coalesce("component", "sid").alias("comp"))
     open_lists = members.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    left = members.join(open_lists.select("h"), "h")
-    # what a pair of different components can share lies in open lists: with it in each row, the join itself counts the shared
-    # prefix positions and lets only pairs with enough of them out
-    heads = left.groupBy("sid").agg(F.collect_list(F.struct("pos", "h")).alias("head"))
-    left = stage(left.join(heads, "sid"), "postings-open")
+    left = stage(members.join(open_lists.select("h"), "h"), "postings-open")
     right = left.select(*[c(n).alias(f"r_{n}") for n in left.columns])
     t = _needed(c("n"), c("r_n"), percent)
+    # the first shingle that a pair shares stands within the shortest prefixes of both; the join asks for that one alone
+    met = left.join(right, (c("h") == c("r_h")) & (c("sid") < c("r_sid")) & (c("comp") != c("r_comp"))
+                    & (F.least("n", "r_n") >= t) & (c("pos") <= c("n") - t) & (c("r_pos") <= c("r_n") - t))
+    pairs = met.groupBy("sid", "r_sid").agg(*[F.first(x).alias(x) for x in ("n", "r_n", "need", "r_need")])
+    # all that a pair of different components can share lies in open lists: count it within the prefixes of the pair's own L
+    heads = left.groupBy("sid").agg(F.collect_list(F.struct("pos", "h")).alias("head"))
+    match = F.least("need", "r_need")
 
     def within(head: str, n: str) -> Column:
-        limit = c(n) - t + F.least("need", "r_need")
-        return F.transform(F.filter(head, lambda x: x["pos"] < limit), lambda x: x["h"])
-
-    matches = F.size(F.array_intersect(within("head", "n"), within("r_head", "r_n")))
-    met = left.join(right, (c("h") == c("r_h")) & (c("sid") < c("r_sid")) & (c("comp") != c("r_comp")) & fits(
-        c("n"), c("pos"), c("need"), c("r_n"), c("r_pos"), c("r_need")) & (matches >= F.least("need", "r_need")))
-    tail = F.least(c("n") - 1 - c("at"), c("r_n") - 1 - c("r_at"))
-    second = met.groupBy("sid", "r_sid").agg(
-        F.count(F.lit(1)).alias("shared"), F.max("pos").alias("at"), F.max("r_pos").alias("r_at"), F.first("n").alias("n"),
-        F.first("r_n").alias("r_n"), F.first(F.least("need", "r_need")).alias("match")).where(
-        (c("shared") >= c("match")) & (c("shared") + tail >= t)).select(c("sid").alias("a"), c("r_sid").alias("b"))
+        return F.transform(F.filter(head, lambda x: x["pos"] < c(n) - t + match), lambda x: x["h"])
+
+    second = pairs.join(heads, "sid").join(
+        heads.select(c("sid").alias("r_sid"), c("head").alias("r_head")), "r_sid").where(
+        F.size(F.array_intersect(within("head", "n"), within("r_head", "r_n"))) >= match).select(
+        c("sid").alias("a"), c("r_sid").alias("b"))
     more = _verified(second, docs, reps, words, percent)
     whole = stage(components(links.unionByName(more)), "jaccard-components")
     placed = keys.join(whole, c("sid") == c("node"), "left").select(
