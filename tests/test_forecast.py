@@ -145,6 +145,8 @@ def test_hour_column_and_required_columns(spark):
     rows = predictions(spark, [(1, 1, 0, 1.0, 2.0), (1, None, 0, 1.0, 2.0)])
     assert D.ensure_hour(rows).columns.count("hour") == 1
     assert D.ensure_hour(rows.drop("faixa_horaria")).first()["hour"] == 8
+    both = D.ensure_hour(rows.withColumn("hour", F.lit(99)))
+    assert both.columns.count("hour") == 1 and "faixa_horaria" not in both.columns and both.first()["hour"] != 99
     with pytest.raises(ValueError):
         D.ensure_hour(rows.select("cod_linha"))
     with pytest.raises(ValueError, match="lack columns"):
@@ -195,6 +197,8 @@ def test_graph_identity_purge_and_upsert(spark):
     left = GR.purge(graph)
     assert {r["label"] for r in left.nodes.select("label").distinct().collect()} == {"Linha", "Veiculo"}
     assert left.edges.count() == 0
+    assert GR.purge(graph, []).nodes.count() == graph.nodes.count()  # no label named, nothing removed
+    assert GR.purge(graph, ["Linha"]).nodes.where("label = 'Linha'").count() == 0
     # an edge end is always a node
     ids = graph.nodes.select("label", "id")
     for side in ("src", "dst"):

@@ -193,6 +193,15 @@ def test_gold_plan(spark, sf_dir):
     assert "props" not in plan  # the unused column is not read
 
 
+def test_raw_rows_are_hashed_not_sorted(spark, sf_dir):
+    from headwise.plans import avl_projection as AVL
+
+    tables_ = AVL.tables(spark, sf_dir)
+    for frame in (G.vehicle_window_context(tables_["gps_events"]), G.stop_vehicle_windows(tables_["stop_events"])):
+        first_step = plan_of(frame).rsplit("Exchange", 1)[1]
+        assert "HashAggregate" in first_step and "SortAggregate" not in first_step and "Sort [" not in first_step
+
+
 def test_arrival_shuffle_is_reused(spark, sf_dir):
     from headwise.plans import avl_projection as AVL
 

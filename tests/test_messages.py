@@ -175,6 +175,35 @@ def test_slice_overwrite_keeps_other_days_and_prunes(spark, tmp_path):
     assert pruned.count() == 3
 
 
+def test_rewritten_days_keep_nothing_old(spark, tmp_path):
+    columns = "event_id string, event_dt date, tipo_mensagem string, id_empresa int"
+    first, second = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    base = str(tmp_path)
+    rows = [("a", first, "T", 1), ("b", second, "T", 1), ("c", second, None, 2), ("d", second, "T", None)]
+    write_silver(spark.createDataFrame(rows, columns), base, "stop_events")
+    write_silver(spark.createDataFrame([("b", second, "U", 99), ("c", second, "U", 99)], columns), base, "stop_events")
+    back = read_partitioned(spark, f"{base}/stop_events", spark.createDataFrame([], columns).schema)
+    assert sorted(map(tuple, back.select("event_id", "tipo_mensagem", "id_empresa").collect())) == [
+        ("a", "T", 1), ("b", "U", 99), ("c", "U", 99)]
+    write_silver(spark.createDataFrame(rows[:1], columns), base, "stop_events", mode="append")
+    assert back.sparkSession.read.parquet(f"{base}/stop_events").count() == 4
+
+
+def test_ingest_parses_the_feed_once(spark, bronze, tmp_path):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        read.add(1)
+        return value
+
+    lines = bronze.where("_corrupt_record is null").withColumn("timestamp", seen.asNondeterministic()(F.col("timestamp").cast("string")).cast("bigint"))
+    ingest(message_points(lines), str(tmp_path))
+    assert read.value == sum(r["_corrupt_record"] is None for r in bronze.collect())
+
+
 def test_rebalance_before_partitioned_write(spark):
     frame = spark.createDataFrame([("x", dt.date(2024, 1, 1), "T", 1)],
                                   "event_id string, event_dt date, tipo_mensagem string, id_empresa int")

@@ -19,7 +19,7 @@ def features(spark, sf_dir):
 def test_forbidden_features_are_refused():
     for column in ("atraso_aproximado_min", "headway_observado_min", "y_true"):
         with pytest.raises(ValueError, match="leak"):
-            ML.forecast_pipeline("linear", ["hour", column])
+            ML.preparation(["hour", column])
     ML.check_features(ML.WINDOW_FEATURES + ML.LAG_FEATURES + ML.CALENDAR_FEATURES)
 
 
@@ -37,8 +37,8 @@ def test_run_keeps_ids_and_contract(spark, features, kind, params):
     predicted = result.predictions.select(*ids).collect()
     assert sorted(map(tuple, predicted)) == sorted(map(tuple, rows_to_predict(features).select(*ids).collect()))
     assert result.predictions.where("y_pred is null").count() == 0
-    mae, constant = result.metrics.first()["mae"], result.baseline_metrics.first()["mae"]
-    assert mae < 5 * constant
+    rmse, constant = result.metrics.first()["rmse"], result.baseline_metrics.first()["rmse"]
+    assert rmse < 1.5 * constant  # the fixture's delays are drawn by hash: nothing to learn, so the constant is hard to beat
     with pytest.raises(ValueError, match="lacks columns"):
         ML.check_result(result._replace(predictions=result.predictions.drop("y_true")))
     with pytest.raises(TypeError):
@@ -58,6 +58,21 @@ def test_unseen_category_gets_its_own_code(spark):
     assert got == {"a": 0.0, "b": 1.0, "z": 2.0}
 
 
+def test_forest_takes_a_whole_fleet(spark):
+    frame = spark.range(6000).selectExpr(
+        "cast(id % 500 as int) cod_linha", "cast(id % 2000 as int) cod_veiculo", "if(id % 2 = 0, 'I', 'V') viagem_sentido",
+        "date '2024-01-01' event_dt", "timestamp_ntz '2024-01-01 08:00:00' janela_5min", "8 faixa_horaria",
+        "if(id < 4000, 'train', 'test') split", "cast(id % 500 as double) y_true", "cast(id % 7 as double) x")
+    _, got = ML.fit_predict(frame, "rf", ["x"], ["cod_linha", "cod_veiculo", "viagem_sentido"], scale=False, numTrees=3)
+    assert got.count() == 2000
+    assert got.selectExpr("avg(abs(y_true - y_pred)) e").first()["e"] < 60  # the constant is off by 125
+
+
+def test_features_follow_the_reference_set():
+    assert {"headway_referencia_min", "is_weekend"} <= set(ML.WINDOW_FEATURES)
+    assert ML.regressor("gbt").getMaxIter() == 100 and ML.regressor("rf").getMaxDepth() == 30
+
+
 def test_scores_ignore_missing_truth(spark, features):
     model = P.second_model(features).selectExpr("*", "'m' as model_name")
     assert error_metrics(model, ["model_name"]).first()["n_registros"] == model.where("y_true is not null").count()

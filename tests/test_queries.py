@@ -1,23 +1,14 @@
-"""Registered queries against DuckDB. ``HEADWISE_ALL=1`` runs every query instead of one per operator family."""
-
-import os
+"""Every registered query of the library against DuckDB. Gold, its labelled windows and features are stored once and shared."""
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from headwise.plans import catalog
+from headwise.sources.staging import stage
 
-ONE_PER_FAMILY = [
-    "bronze_json_scan", "silver_scan_pruned", "gold_write_readback", "csv_roundtrip", "metrics_table",
-    "package_manifest", "flatten_header", "normalize_coords", "silver_gps_events", "silver_stop_events",
-    "silver_operational_events", "canonical_timestamp", "gps_invalid_flag", "gold_final_table", "headway_gaps",
-    "event_alignment", "union_events", "silver_validation", "dq_duplicates_by_day", "dq_summary", "raw_profile",
-    "raw_profile_by_type", "target_next_row", "lag_features", "rolling_features", "temporal_split", "baseline_predict",
-    "error_metrics", "prediction_audit", "actual_delay_means", "encode_categories", "vehicle_instability",
-    "line_hour_compare", "top_compare", "graph_upsert", "graph_purge", "gq_gap_vs_baseline", "gq_line_focus",
-    "semantic_links", "semantic_summary", "semantic_rule_hits",
-]
-NAMES = list(entry.queries()) if os.environ.get("HEADWISE_ALL") else ONE_PER_FAMILY
+NAMES = list(catalog.QUERIES)
+SHARED = {"_gold": lambda f: stage(f, "shared-gold"), "_labelled": lambda f: f, "_features": lambda f: f}
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +16,30 @@ def db(sf_dir):
     return connect(sf_dir)
 
 
+@pytest.fixture(scope="module")
+def shared_inputs():
+    """The inputs many queries start from are built by the first query that asks and kept for the others. The query that
+    is Gold itself (``gold_final_table``) builds its own."""
+    plain = {name: getattr(catalog, name) for name in SHARED}
+    kept = {}
+
+    def once(name):
+        def get(spark, sf):
+            if (name, sf) not in kept:
+                kept[name, sf] = SHARED[name](plain[name](spark, sf))
+            return kept[name, sf]
+
+        return get
+
+    for name in SHARED:
+        setattr(catalog, name, once(name))
+    yield
+    for name, function in plain.items():
+        setattr(catalog, name, function)
+
+
 @pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, db, sf_dir, name):
+def test_query_equals_sql(spark, db, sf_dir, shared_inputs, name):
     assert compare(spark, db, name, entry.queries()[name], entry.oracle_sql().get(name), sf_dir) is None
 
 
