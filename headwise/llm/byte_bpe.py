@@ -42,7 +42,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def _pack(array: np.ndarray) -> bytes:
     data = array.tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
 
 
 def _unpack(data: bytes, dtype: str) -> np.ndarray:
@@ -98,9 +98,8 @@ def _coded(buckets: int):
                 words.append(data)
                 slots.append(place)
             rows = []
-            for bucket, (words, slots) in parts.items():
-                order = sorted(range(len(words)), key=words.__getitem__)
-                rows.append((bucket, _pack_words([words[i] for i in order]), _pack(np.array(slots, "<u4")[order])))
+            for bucket, (words, slots) in parts.items():  # in order of place: steps between places are small numbers
+                rows.append((bucket, _pack_words(words), _pack_codes(np.diff(np.array([-1, *slots])) - 1)))
             return pa.record_batch(
                 [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
                  pa.nulls(len(rows), kind), pa.array([r[1] for r in rows], pa.binary()),
@@ -182,7 +181,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         words_to_ids, "chunk bigint, data binary, slots binary, lengths binary")
     def reassembled(key, documents, words):
         parts = list(zip(*(words[c].to_pylist() for c in ("data", "slots", "lengths"))))
-        parts = [(_unpack(ids, "<u4"), _unpack(slots, "<u4"), _unpack(sizes, "<u4")) for ids, slots, sizes in parts]
+        parts = [(_unpack(ids, "<u4"), np.cumsum(_unpack_codes(slots) + 1) - 1, _unpack(sizes, "<u4")) for ids, slots, sizes in parts]
         total, base = sum(len(p[1]) for p in parts), 0
         lengths, offsets = np.zeros(total, np.int64), np.zeros(total, np.int64)
         for ids, at, count in parts:
