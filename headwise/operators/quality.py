@@ -200,6 +200,13 @@ def raw_profile(flat: DataFrame) -> DataFrame:
     )
 
 
+def corrupt_lines(raw: DataFrame) -> DataFrame:
+    """Lines read and lines that could not be parsed. Such a line fits no table, so this is the only place that shows it."""
+    return raw.agg(
+        F.count(F.lit(1)).alias("lines"), F.count("_id").alias("messages"),
+        F.count("_corrupt_record").alias("corrupt_lines"))
+
+
 def raw_profile_by_type(flat: DataFrame) -> DataFrame:
     """Records and defect percentages per message type."""
     def percent(test: Column) -> Column:

@@ -425,6 +425,16 @@ def raw_profile(spark, sf):
     return Q.raw_profile(AVL.flat_messages(spark, sf))
 
 
+@query
+def bronze_corrupt_lines(spark, sf):
+    """JSON Lines in which some lines are cut off."""
+    path = fresh_path(spark, "bronze")
+    messages = AVL.bronze_messages(spark, sf).select(F.col("_id")["$oid"].cast("bigint").alias("id"), F.to_json(F.struct("*")).alias("line"))
+    broken = F.when(F.col("id") % 400 == 3, F.expr("substring(line, 1, length(line) - 5)")).otherwise(F.col("line"))
+    messages.select(broken.alias("value")).write.text(path)
+    return Q.corrupt_lines(lake.read_bronze(spark, path))
+
+
 @query
 def raw_profile_by_type(spark, sf):
     return Q.raw_profile_by_type(AVL.flat_messages(spark, sf))

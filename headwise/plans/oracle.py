@@ -437,6 +437,9 @@ from pts""",
 select event_id, gps_idx, case when raw_id % 13 <> 0 then make_timestamp(event_ts * 1000000)
   when raw_id % 26 <> 0 then created_at_origem else created_at_ingestao end as canonical_ts
 from pts""",
+    "bronze_corrupt_lines": """
+select count(*) as lines, count(*) filter (where event_id % 400 <> 3) as messages,
+  count(*) filter (where event_id % 400 = 3) as corrupt_lines from events""",
     "silver_reingest": """
 select event_id, gps_idx, event_dt,
   case when event_dt = date '2024-01-02' and cast(event_id as bigint) % 2 = 0 then 'AVL_EVT_CORRIGIDO' else tipo_mensagem end

@@ -33,6 +33,14 @@ def write_package(datasets: dict[str, DataFrame], base: str, run_stamp: str) ->
     }
 
 
+def write_forecast_run(outputs: dict[str, DataFrame], base: str, model_name: str, run_stamp: str) -> dict[str, str]:
+    """Write the outputs of a model run, each under its own name, model and run; a run that is repeated replaces only itself."""
+    paths = {name: f"{base.rstrip('/')}/{name}/model_name={model_name}/run={run_stamp}" for name in outputs}
+    for name, frame in outputs.items():
+        frame.drop("model_name").write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
 def package_manifest(datasets: dict[str, DataFrame], run_stamp: str) -> DataFrame:
     """One row per data set: name, file, number of rows."""
     return union_reports([

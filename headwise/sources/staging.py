@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Gives every copy staged inside an owner: they lie in one folder, which goes at the end of the run, also after a
+    failure. Results are to be written or collected inside."""
+    folder = f"{shared_folder(spark)}/headwise/run-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has written to, under the shared folder."""
-    return f"{shared_folder(spark)}/headwise/{label}-{uuid.uuid4().hex}"
+    """A path nobody has written to, in the folder of the current run or else under the shared folder."""
+    parent = _SCOPES[-1] if _SCOPES else f"{shared_folder(spark)}/headwise"
+    return f"{parent}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(frame: DataFrame, label: str) -> DataFrame:

@@ -78,5 +78,24 @@ def test_scores_ignore_missing_truth(spark, features):
     assert error_metrics(model, ["model_name"]).first()["n_registros"] == model.where("y_true is not null").count()
 
 
+def test_runs_own_their_copies_and_outputs(spark, tmp_path):
+    from headwise.sources.reports import write_forecast_run
+    from headwise.sources.staging import fresh_path, run_scope
+
+    frame = spark.range(5).selectExpr("id", "'m' model_name")
+    with pytest.raises(RuntimeError):
+        with run_scope(spark) as folder:
+            copy = stage(frame, "copy")
+            assert copy.count() == 5 and folder.rsplit("/", 1)[1] in copy.inputFiles()[0]
+            raise RuntimeError("a failed run")
+    assert "run-" not in fresh_path(spark, "x")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
+    for stamp in ("1", "2", "2"):
+        write_forecast_run({"metrics": frame, "predictions": frame}, str(tmp_path), "m", stamp)
+    back = spark.read.parquet(str(tmp_path / "metrics"))
+    assert back.count() == 10 and {"model_name", "run"} <= set(back.columns)
+
+
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
