@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwise.llm.common import spaced_words, worker_state
+from headwise.llm.common import release_memory, spaced_words, worker_state
 from headwise.sources.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 class RoomTree:
@@ -156,6 +156,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                          pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                         names=["doc_id", "piece", "start", "length", "ids"])
                     at, piece, start, length, ids, held = [], [], [], [], [], 0
+        release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import spaced_words, worker_state
+from headwise.llm.common import release_memory, spaced_words, worker_state
 from headwise.sources.staging import fresh_path
 
 CHUNK_WORDS, CHUNK_BYTES = 1 << 20, 24 << 20
@@ -130,6 +130,8 @@ def _coded(buckets: int):
                     number, size, places = number + 1, 0, {}
         if places:
             yield dictionary((task << 24) + number, kind)
+        places = {}
+        release_memory()
 
     return code
 
@@ -232,6 +234,7 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
                      pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(cut), pa.py_buffer(data)])],
                     names=["doc_id", "ids", "decoded"])
                 low = high
+        release_memory()
 
     kind = coded.schema["doc_id"].dataType.simpleString()
     return coded.select("doc_id", "ids").mapInArrow(joined, f"doc_id {kind}, ids array<int>, decoded binary")

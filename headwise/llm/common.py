@@ -23,6 +23,18 @@ def crc_remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def release_memory() -> None:
+    """Give freed memory of a worker back to the system: workers live on after a task and share the executor's memory."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(
     batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
@@ -38,6 +50,8 @@ def text_blocks(
             size += length
         if batch.num_rows:
             yield batch.slice(start), texts.slice(start).to_pylist()
+        del texts
+    release_memory()
 
 
 def joined_bytes(texts: list[bytes | None], separator: bytes = b" ") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

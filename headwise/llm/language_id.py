@@ -64,7 +64,7 @@ def _features(batches):
 
 
 def fit(
-    docs: DataFrame, lang: str = "lang", learn_from=None, per_language: int = 1500, epochs: int = 12, rate: float = 40.0,
+    docs: DataFrame, lang: str = "lang", learn_from=None, per_language: int = 700, epochs: int = 12, rate: float = 40.0,
     reject_share: float = 0.001, seed: int = 7,
 ) -> LanguageModel:
     """Learn from at most about ``per_language`` labelled rows of each language (a documented bound on what the driver

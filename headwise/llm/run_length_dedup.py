@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwise.llm.common import fingerprint64, joined_bytes, span_hashes, summed_arrays, text_blocks
+from headwise.llm.common import fingerprint64, joined_bytes, release_memory, span_hashes, summed_arrays, text_blocks
 from headwise.sources.staging import stage
 
 LENGTH, GRAM = 200, 64
@@ -242,6 +242,7 @@ def _indexed(length: int):
                 rows.append((rid, start, copy))
                 size += len(body)
         yield flush()
+        release_memory()
 
     return index
 
@@ -263,6 +264,7 @@ def _bodies(length: int):
                         pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()))],
                         names=["anchor", "rid", "start", "number", "copy", "crowded", "body"])
                     rows, held = [], 0
+        release_memory()
 
     return cut
 
