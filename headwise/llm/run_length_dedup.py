@@ -12,8 +12,12 @@ covers is removed. Passages are bytes of the UTF-8 text and never cross document
    Burrows-Wheeler transform kept as runs with suffix samples at run ends. The length matched elsewhere, streamed over a
    text, falls by one from a position to the next except at sampled run ends, so only there is it computed (against the
    neighbour in suffix order, on both sides); every sample with ``length`` or more marks the starts it proves repeated.
-4. Anchors with very many occurrences (found with a fixed-size table of counts) are dealt out by context instead of by
-   anchor, and the passages of their contexts are counted one by one by hash, so no group has to fit into a task.
+4. Anchors with very many contexts (found with a fixed-size table of counts) are dealt out by context instead of by anchor, so
+   no group has to fit into a task. Every passage of theirs also holds half of its other bytes on one side of the anchor: halves
+   of contexts whose longer gram occurs once leave, and the passages of the others are counted one by one by hash.
+
+Contexts that are equal within a run of texts of one task travel as one row with the places of all, so copies and texts that
+repeat a short pattern cost one row per run.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` keep all; repeated rows are repeated
 passages like any; an empty table gives an empty result; extra columns are ignored. Anchors with contexts, rows and passages
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,7 @@ from headwise.llm.common import fingerprint64, joined_bytes, release_memory, spa
 from headwise.sources.staging import stage
 
 LENGTH, GRAM = 200, 64
+RUN_BYTES = 4 << 20
 PIECE = 1 << 18
 COUNTERS, CROWDED = 1 << 22, 2048
 INDEX_BYTES = 1 << 19
@@ -53,8 +59,8 @@ def _gram_hashes(buffer: np.ndarray) -> np.ndarray:
 
 
 def contexts(texts: list[bytes | None], length: int = LENGTH):
-    """Arrays (text number, first start, number of starts, anchor hash, context hash) of all contexts of the texts. Long
-    texts are cut into pieces that own disjoint ranges of starts."""
+    """Arrays (text number, first start, number of starts, anchor hash, context hash, anchor's place in the context) of all
+    contexts of the texts. Long texts are cut into pieces that own disjoint ranges of starts."""
     pieces, owner, base = [], [], []
     for i, text in enumerate(texts):
         for at in range(0, max(0, (len(text) if text else 0) - length + 1), PIECE):
@@ -63,7 +69,7 @@ def contexts(texts: list[bytes | None], length: int = LENGTH):
             base.append(at)
     none = np.zeros(0, dtype=np.int64)
     if not pieces:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     buffer, starts, ends = joined_bytes(pieces)
     grams = _gram_hashes(buffer)
     # 40 bits of hash over the position: the least key is the leftmost of the least grams
@@ -85,7 +91,33 @@ def contexts(texts: list[bytes | None], length: int = LENGTH):
     piece = np.searchsorted(starts, begin, side="right") - 1
     key = fingerprint64(grams[anchor[head]]).view(np.int64)
     body = span_hashes(buffer, begin, begin + number + length - 1) ^ fingerprint64((anchor[head] - begin).astype(np.uint64))
-    return (np.array(owner)[piece], begin - starts[piece] + np.array(base)[piece], number, key, body.view(np.int64))
+    return (np.array(owner)[piece], begin - starts[piece] + np.array(base)[piece], number, key, body.view(np.int64),
+            anchor[head] - begin)
+
+
+def _runs(batches, length: int, rids: bool):
+    """Contexts of about ``RUN_BYTES`` of text at a time, equal ones together: arrays rid, start, number, anchor, context in an
+    order that puts equal contexts side by side, and the bounds of each distinct one."""
+    held, size = [], 0
+
+    def grouped():
+        rid, start, number, key, body = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((body, key))
+        rid, start, number, key, body = (c[order] for c in (rid, start, number, key, body))
+        fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (body[1:] != body[:-1])]))
+        return rid, start, number, key, body, np.concatenate([fresh, [len(key)]])
+
+    for batch, texts in text_blocks(batches):
+        row, start, number, key, body, _ = contexts(texts, length)
+        if len(row):
+            rid = batch.column("rid").to_numpy()[row] if rids else np.zeros(len(row), dtype=np.int64)
+            held.append((rid, start, number, key, body))
+        size += sum(len(t) for t in texts if t)
+        if held and size >= RUN_BYTES:
+            yield grouped()
+            held, size = [], 0
+    if held:
+        yield grouped()
 
 
 def _counter(key: np.ndarray) -> np.ndarray:
@@ -93,13 +125,12 @@ def _counter(key: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """rid, start, number, anchor, context, crowded for every context of every row."""
+    """rid, start, number, anchor, context, crowded for every distinct context of a run of texts; ``others`` has the rid,
+    start and number of its further occurrences there."""
     def tally(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
-        for _, texts in text_blocks(batches):
-            key = contexts(texts, length)[3]
-            if len(key):
-                total += np.bincount(_counter(key), minlength=COUNTERS)
+        for _, _, _, key, _, bounds in _runs(batches, length, False):
+            total += np.bincount(_counter(key[bounds[:-1]]), minlength=COUNTERS)
         return total
 
     crowded = np.packbits(summed_arrays(docs.select("text"), tally, COUNTERS, "int32") > CROWDED)
@@ -107,21 +138,30 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
 
     def listed(batches):
         many = np.unpackbits(shared.value).astype(bool)
-        for batch, texts in text_blocks(batches):
-            row, start, number, key, body = contexts(texts, length)
-            yield pa.record_batch(
-                [batch.column("rid").take(pa.array(row)), pa.array(start, pa.int64()), pa.array(number, pa.int32()),
-                 pa.array(key, pa.int64()), pa.array(body, pa.int64()), pa.array(many[_counter(key)], pa.bool_())],
-                names=["rid", "start", "number", "anchor", "context", "crowded"])
+        for rid, start, number, key, body, bounds in _runs(batches, length, True):
+            first = bounds[:-1]
+            rest = np.ones(len(key), dtype=bool)
+            rest[first] = False
+            counts = np.diff(bounds) - 1
+            triples = np.stack([rid[rest], start[rest], number[rest]], axis=1).ravel()
+            others = pa.ListArray.from_arrays(
+                pa.array(3 * np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(triples, pa.int64()))
+            whole = pa.record_batch(
+                [pa.array(rid[first], pa.int64()), pa.array(start[first], pa.int64()), pa.array(number[first], pa.int32()),
+                 pa.array(key[first], pa.int64()), pa.array(body[first], pa.int64()),
+                 pa.array(many[_counter(key[first])], pa.bool_()), others],
+                names=["rid", "start", "number", "anchor", "context", "crowded", "others"])
+            for low in range(0, whole.num_rows, 8192):
+                yield whole.slice(low, 8192)
 
     return docs.select("rid", "text").mapInArrow(
-        listed, "rid bigint, start bigint, number int, anchor bigint, context bigint, crowded boolean")
+        listed, "rid bigint, start bigint, number int, anchor bigint, context bigint, crowded boolean, others array<bigint>")
 
 
 def _compared(batches):
     """Rows in order of (anchor, context): those whose anchor has another row next to them, and all of crowded anchors, with
     ``copy`` (another row has the same context) and ``head`` (first of its context). One row is held back."""
-    names = ["rid", "start", "number", "anchor", "context", "crowded"]
+    names = ["rid", "start", "number", "anchor", "context", "crowded", "others"]
     held, before = None, (None, None)
     for batch in _with_end(batches):
         table = held if batch is None else pa.Table.from_batches(([*held.to_batches()] if held is not None else []) + [batch])
@@ -131,8 +171,9 @@ def _compared(batches):
         anchor, context = table["anchor"].to_numpy(), table["context"].to_numpy()
         like = np.concatenate([[anchor[0] == before[0]], anchor[1:] == anchor[:-1], [False]])
         same = like & np.concatenate([[context[0] == before[1]], context[1:] == context[:-1], [False]])
-        copy, head = same[:-1] | same[1:], ~same[:-1]
-        wanted = np.flatnonzero((like[:-1] | like[1:] | table["crowded"].to_numpy())[:last])
+        twice = pc.list_value_length(table["others"]).to_numpy() > 0
+        copy, head = same[:-1] | same[1:] | twice, ~same[:-1]
+        wanted = np.flatnonzero((like[:-1] | like[1:] | twice | table["crowded"].to_numpy())[:last])
         out = table.select(names).take(pa.array(wanted)).append_column("copy", pa.array(copy[wanted], pa.bool_())).append_column(
             "head", pa.array(head[wanted], pa.bool_()))
         yield from out.to_batches()
@@ -269,6 +310,31 @@ def _bodies(length: int):
     return cut
 
 
+def _halves(length: int):
+    """Task function: contexts cut in two by the side of the anchor on which their passages surely hold half of their other
+    bytes, each part under the hash of the anchor with those bytes."""
+    side = (length - GRAM) // 2
+
+    def cut(batches):
+        for batch in (part.slice(low, 1024) for part in batches for low in range(0, part.num_rows, 1024)):
+            bodies, out = batch.column("body").to_pylist(), [[] for _ in range(6)]
+            at = contexts(bodies, length)[5]
+            for i, body in enumerate(bodies):
+                rid, start, number, copy = (batch.column(c)[i].as_py() for c in ("rid", "start", "number", "copy"))
+                left = min(number, max(0, int(at[i]) - side + 1))  # passages that start so far before the anchor
+                for low, high, grams in ((0, left, (at[i] - side, at[i] + GRAM)), (left, number, (at[i], at[i] + GRAM + side))):
+                    if high > low:
+                        gram = np.frombuffer(body, dtype=np.uint8)
+                        key = span_hashes(gram, np.array([grams[0]]), np.array([grams[1]])).view(np.int64)[0] ^ int(low > 0 or left == 0)
+                        for column, value in zip(out, (key, rid, start + low, high - low, copy, body[low:high + length - 1])):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)],
+                                  names=["anchor", "rid", "start", "number", "copy", "body"])
+
+    return cut
+
+
 def _passages(length: int):
     """Task function: every passage of the contexts by hash."""
     def hashed(batches):
@@ -323,11 +389,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select("rid", "text")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = F.xxhash64("anchor", F.when(F.col("crowded"), F.col("context")))
-    kinds = "rid bigint, start bigint, number int, anchor bigint, context bigint, crowded boolean, copy boolean, head boolean"
+    kinds = ("rid bigint, start bigint, number int, anchor bigint, context bigint, crowded boolean, others array<bigint>, "
+             "copy boolean, head boolean")
     rows = stage(_occurrences(docs, length).withColumn("dealt", dealt).repartition(width, "dealt").drop("dealt").sortWithinPartitions(
         "anchor", "context").mapInArrow(_compared, kinds), "contexts")
-    copies = rows.where("copy").select("rid", F.col("start").alias("begin"), (F.col("start") + F.col("number") + (length - 1)).alias("until"))
-    heads = rows.where("head")
+    places = F.concat(F.array("rid", "start", F.col("number").cast("long")), F.coalesce("others", F.array().cast("array<bigint>")))
+    copies = rows.where("copy").select(places.alias("p")).select(F.explode(F.transform(
+        F.expr("sequence(0, cast(size(p) div 3 as int) - 1)"), lambda i: F.struct(
+            F.get("p", (3 * i).cast("int")).alias("rid"), F.get("p", (3 * i + 1).cast("int")).alias("begin"),
+            (F.get("p", (3 * i + 1).cast("int")) + F.get("p", (3 * i + 2).cast("int")) + (length - 1)).alias("until")))).alias("m")).select("m.*")
+    heads = rows.where("head").drop("others")
     unlike = heads.where("not crowded").groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
     asked = heads.where("not crowded").join(unlike, "anchor").unionByName(heads.where("crowded").select("anchor", *[
         c for c in heads.columns if c != "anchor"]))
@@ -339,7 +410,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "anchor bigint, rid bigint, start bigint, number int, copy boolean, crowded boolean, body binary"), "context-bodies")
     found = bodies.where("not crowded").select("anchor", "rid", "start", "copy", "body").repartition(width, "anchor").sortWithinPartitions(
         "anchor").mapInArrow(_indexed(length), "rid bigint, begin bigint, until bigint")
-    passages = bodies.where("crowded").select("anchor", "rid", "start", "number", "copy", "body").mapInArrow(
+    halves = stage(bodies.where("crowded").select("rid", "start", "number", "copy", "body").mapInArrow(
+        _halves(length), "anchor bigint, rid bigint, start bigint, number int, copy boolean, body binary"), "context-halves")
+    longer = halves.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    passages = halves.join(longer, "anchor").select("anchor", "rid", "start", "number", "copy", "body").mapInArrow(
         _passages(length), "anchor bigint, passage bigint, rid bigint, start bigint, copy boolean")
     often = passages.groupBy("anchor", "passage").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", "passage")
     counted = passages.where("not copy").join(often, ["anchor", "passage"]).select(
