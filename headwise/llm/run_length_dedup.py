@@ -38,6 +38,7 @@ from headwise.sources.staging import stage
 LENGTH, GRAM = 200, 64
 RUN_BYTES = 4 << 20
 PIECE = 1 << 18
+PLACE_BITS, BUFFER_BYTES = 24, 1 << 22
 COUNTERS, CROWDED = 1 << 22, 2048
 INDEX_BYTES = 1 << 19
 MARKS = 1 << 20
@@ -60,26 +61,39 @@ def _gram_hashes(buffer: np.ndarray) -> np.ndarray:
 
 def contexts(texts: list[bytes | None], length: int = LENGTH):
     """Arrays (text number, first start, number of starts, anchor hash, context hash, anchor's place in the context) of all
-    contexts of the texts. Long texts are cut into pieces that own disjoint ranges of starts."""
-    pieces, owner, base = [], [], []
+    contexts of the texts. Long texts are cut into pieces that own disjoint ranges of starts, and about ``BUFFER_BYTES`` of
+    pieces are hashed at a time, so places in a buffer fit ``PLACE_BITS`` and the numpy intermediates do not grow with a text."""
+    parts, pieces, owner, base, size = [], [], [], [], 0
     for i, text in enumerate(texts):
         for at in range(0, max(0, (len(text) if text else 0) - length + 1), PIECE):
+            if pieces and size >= BUFFER_BYTES:
+                parts.append(_piece_contexts(pieces, owner, base, length))
+                pieces, owner, base, size = [], [], [], 0
             pieces.append(text[at:at + PIECE + length - 1])
             owner.append(i)
             base.append(at)
+            size += len(pieces[-1])
+    if pieces:
+        parts.append(_piece_contexts(pieces, owner, base, length))
     none = np.zeros(0, dtype=np.int64)
-    if not pieces:
-        return none, none, none, none, none, none
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (none,) * 6
+
+
+def _piece_contexts(pieces: list[bytes], owner: list[int], base: list[int], length: int):
+    """``contexts`` of the pieces of one buffer; ``owner`` and ``base`` are the text number and place of each piece."""
     buffer, starts, ends = joined_bytes(pieces)
+    if len(buffer) > 1 << PLACE_BITS:
+        raise ValueError(f"passages of {length} bytes are too long: a buffer holds {1 << PLACE_BITS} bytes")
     grams = _gram_hashes(buffer)
     # 40 bits of hash over the position: the least key is the leftmost of the least grams
-    least = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
+    low = np.uint64(PLACE_BITS)
+    least = (grams >> low << low) | np.arange(len(grams), dtype=np.uint64)
     window, width = length - GRAM + 1, 1
     while 2 * width <= window:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     if width < window:
         least = np.minimum(least[:width - window], least[window - width:])
-    at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+    at = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     count = ends - starts - length + 1
     first = np.cumsum(count) - count
     start = np.repeat(starts - first, count) + np.arange(count.sum())

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,23 @@ def test_repeated_long_row(docs):
         assert (r.n_bytes, len(r.kept), len(r.spans)) == (200000, 0, 1)
 
 
+def test_repeats_far_into_a_long_text(spark):
+    drawn = np.random.default_rng(8)
+    shared = drawn.integers(97, 123, 700, dtype=np.uint8).tobytes()
+    long = drawn.integers(97, 123, (1 << 24) + 400_000, dtype=np.uint8).tobytes()
+    at = (1 << 24) + 150_000
+    long = long[:at] + shared + long[at:]
+    texts = [long, b"A" + shared + b"B"]
+    text, start, number, _, _, place = run_length_dedup.contexts(texts, 200)
+    sizes = np.array([len(t) for t in texts]) - 199
+    assert np.bincount(text, weights=number).tolist() == sizes.tolist()  # every start once
+    assert (place >= 0).all() and (place + run_length_dedup.GRAM <= number + 199).all()
+    rows = run_length_dedup.remove_repeats(spark.createDataFrame(
+        [(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string"), 200).orderBy("doc_id").collect()
+    assert [[tuple(s) for s in r.spans] for r in rows] == [[(at, at + 700)], [(1, 701)]]
+    assert [bytes(r.kept) for r in rows] == [long[:at] + long[at + 700:], b"AB"]
+
+
 def test_run_length_index_marks_both_sides():
     index = run_length_dedup.RunLengthIndex([b"xx" + b"abcdefgh" * 3, b"yy" + b"abcdefgh" * 3 + b"z"])
     first, last = index.repeated(20)
