@@ -2,8 +2,10 @@
 
 The features of a text are the distinct hashed runs of 4 to 6 bytes of its normalised form (ASCII letters lower-cased,
 white space a blank). Document frequencies of every feature by class come from all labelled rows. A feature's value is its
-naive Bayes log-count ratio, and only features whose ratio is large and stands out from chance are kept (the ``MAX_FEATURES``
-clearest at most, which bounds what the driver holds), so a long text does not gather noise; a logistic regression over them, fitted on a bounded sample, gives the probability.
+naive Bayes log-count ratio, and only features whose ratio is large and stands out from chance are kept, all of them, so a
+long text does not gather noise; a logistic regression over them, fitted on a bounded sample, gives the probability. The
+driver holds a sampled row as feature numbers or as a bitmap of the kept features, whichever is smaller (32 KB a row at most),
+and reads ``BLOCK_CODES`` of them at a time.
 
 Defined results: null and empty texts have no feature and score the bias; an empty table gives an empty result; without
 labelled rows of both classes every score is the share of toxic rows (0 if there are none); repeated rows are scored each
@@ -25,7 +27,8 @@ from headwise.llm.common import (
 
 BITS, ORDERS = 18, (4, 5, 6)
 THRESHOLD = 0.3
-MIN_Z, MIN_RATIO, MAX_FEATURES = 3.5, 1.0, 16384
+MIN_Z, MIN_RATIO = 3.5, 1.0
+BLOCK_CODES = 1 << 20
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] = np.arange(97, 123)
@@ -65,6 +68,33 @@ def _tallied(batches) -> np.ndarray:
     return total
 
 
+def packed_row(at: np.ndarray, size: int) -> bytes:
+    """Sorted distinct numbers under ``size``: four bytes each, or a bitmap where that is smaller."""
+    if 4 * len(at) <= -(-size // 8):
+        return at.astype("<i4").tobytes()
+    bits = np.zeros(size, dtype=bool)
+    bits[at] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(held: list[np.ndarray], number: np.ndarray, size: int) -> np.ndarray:
+    """The numbers of some packed rows one behind the other; ``number``: how many each has."""
+    rows = [h.view("<i4") if 4 * n <= -(-size // 8) else np.flatnonzero(np.unpackbits(h, count=size))
+            for h, n in zip(held, number.tolist())]
+    return np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+
+
+def row_blocks(packed: list[bytes], number: np.ndarray, size: int) -> list[tuple[int, int, list[np.ndarray]]]:
+    """(first row, row behind the last, packed rows) of runs of rows with about ``BLOCK_CODES`` numbers."""
+    blocks, low, total = [], 0, 0
+    for i, n in enumerate([*number.tolist(), None]):
+        if n is None or i > low and total + n > BLOCK_CODES:
+            blocks.append((low, i, [np.frombuffer(bytes(p), dtype=np.uint8) for p in packed[low:i]]))
+            low, total = i, 0
+        total += n or 0
+    return blocks
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn_from=None, per_class: int = 4000, rounds: int = 400,
         l2: float = 1e-3) -> ToxicityModel:
     """``labels``: doc_id, toxic (0/1); ``learn_from``: a condition on doc_id. Ratios come from all labelled rows; the
@@ -82,8 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, per_class: int = 40
     ratio = np.log((having + 0.5) / (positives + 1.0)) - np.log((without + 0.5) / (negatives + 1.0))
     spread = np.sqrt(1 / (having + 0.5) + 1 / (without + 0.5))
     clear = np.where(np.abs(ratio) >= MIN_RATIO, np.abs(ratio) / spread, 0)
-    kept = np.sort(np.argsort(-clear, kind="stable")[:MAX_FEATURES])
-    kept = kept[clear[kept] >= MIN_Z]
+    kept = np.flatnonzero(clear >= MIN_Z)
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     shared = docs.sparkSession.sparkContext.broadcast(place)
@@ -91,24 +120,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, per_class: int = 40
     def features(batches):
         where = shared.value
         for batch, texts in text_blocks(batches):
-            rows = [np.unique(p[p >= 0]).astype("<i4").tobytes() for p in (where[c] for c in gram_codes(texts))]
-            yield pa.record_batch([batch.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "at"])
+            rows = [np.unique(p[p >= 0]) for p in (where[c] for c in gram_codes(texts))]
+            yield pa.record_batch(
+                [batch.column("toxic"), pa.array([len(r) for r in rows], pa.int32()),
+                 pa.array([packed_row(r, len(kept)) for r in rows], pa.binary())], names=["toxic", "n", "at"])
 
     sample, shares = sampled_texts(docs, wanted, "toxic", counts, per_class)
-    rows = sample.select("text", "toxic").mapInArrow(features, "toxic int, at binary").collect()
+    rows = sample.select("text", "toxic").mapInArrow(features, "toxic int, n int, at binary").collect()
     y = np.array([r.toxic for r in rows], dtype=float)
-    at = [np.frombuffer(bytes(r["at"]), dtype="<i4") for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
-    column = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+    number = np.array([r.n for r in rows], dtype=np.int64)
+    blocks = row_blocks([r["at"] for r in rows], number, len(kept))
+    del rows
+    whole = unpacked(blocks[0][2], number, len(kept)) if len(blocks) == 1 else None
     scale = ratio[kept]
     weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
     weight /= weight.sum()
     coefficient, bias = np.full(len(kept), 0.05), float(np.log(positives / negatives))
     speed, speed_bias, mean2, mean2_bias = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0
     for t in range(1, rounds + 1):  # Adam on the whole sample
-        z = bias + np.bincount(row, weights=(coefficient * scale)[column], minlength=len(rows))
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        gradient = np.bincount(column, weights=error[row], minlength=len(kept)) * scale + l2 * coefficient / max(1, len(kept))
+        used, error, gradient = coefficient * scale, np.zeros(len(y)), np.zeros(len(kept))
+        for low, high, held in blocks:
+            column = unpacked(held, number[low:high], len(kept)) if whole is None else whole
+            row = np.repeat(np.arange(high - low), number[low:high])
+            z = bias + np.bincount(row, weights=used[column], minlength=high - low)
+            error[low:high] = weight[low:high] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[low:high])
+            gradient += np.bincount(column, weights=error[low:high][row], minlength=len(kept))
+        gradient = gradient * scale + l2 * coefficient / max(1, len(kept))
         gradient_bias = float(error.sum())
         speed, speed_bias = 0.9 * speed + 0.1 * gradient, 0.9 * speed_bias + 0.1 * gradient_bias
         mean2, mean2_bias = 0.999 * mean2 + 0.001 * gradient**2, 0.999 * mean2_bias + 0.001 * gradient_bias**2

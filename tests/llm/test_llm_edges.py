@@ -245,6 +245,35 @@ def test_classifiers(docs, nothing, labels):
         assert without == {0.5 if operator is quality else 0.0} or (operator is toxicity and len(without) == 1)
 
 
+def test_toxicity_keeps_rare_features_beside_many_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_CODES", 1 << 18, raising=False)
+    drawn = np.random.default_rng(5)
+    mild = drawn.integers(97, 123, 7000, dtype=np.uint8).tobytes().decode()  # about 21,000 features
+    rare = "zq0 jx1 vk2 wq3 xj4"
+    rows = [(i, f"plain words {i} " + (rare if i % 4 == 0 else mild), 1) for i in range(100)]
+    rows += [(i, f"plain words {i} " + (mild if i % 5 == 0 else ""), 0) for i in range(100, 1100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert np.count_nonzero(model.weights) > 16384
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(scores[i] for i in range(0, 100, 4)) >= toxicity.THRESHOLD
+    assert max(scores[i] for i in range(100, 1100) if i % 5) < toxicity.THRESHOLD
+
+
+def test_toxicity_rows_are_packed_without_loss():
+    drawn = np.random.default_rng(6)
+    for size in (0, 1, 33, 5000):
+        rows = [np.flatnonzero(drawn.random(size) < share) for share in (0, 0.01, 0.04, 0.5, 1)]
+        number = np.array([len(r) for r in rows])
+        packed = [toxicity.packed_row(r, size) for r in rows]
+        assert all(len(p) <= -(-size // 8) for p in packed)
+        blocks = toxicity.row_blocks(packed, number, size)
+        assert [(a, b) for a, b, _ in blocks][-1][1] == len(rows)
+        got = np.concatenate([toxicity.unpacked(held, number[a:b], size) for a, b, held in blocks])
+        assert got.tolist() == np.concatenate(rows).tolist()
+
+
 def test_language(docs, nothing):
     rows = {r.doc_id: r for r in language_id.identify(docs).collect()}
     assert len(rows) == len(TEXTS) + 1
