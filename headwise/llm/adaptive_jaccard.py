@@ -10,6 +10,10 @@ with the member that has the most frequent prefix (in a group of near copies, th
 way join most groups; only pairs whose components still differ are then looked for, completely, in the lists that still
 hold more than one component. Verification is exact on the whole sets, recomputed from the text of one document per set.
 
+The result is connectivity only: links between unlike sets inside a component that is already joined are neither looked for
+nor counted, and no pairs are returned. The multi-match count decides the pairs looked for after that; pairs with the most
+frequent member are verified from one shared shingle on.
+
 Defined results: words are runs of bytes other than blank and 0x09-0x0D, A-Z lower-cased; fewer words than a shingle are
 one shingle; null, empty and wordless texts have no shingle and link with nothing; rows without doc_id get their
 n_shingles and no component; repeated rows are linked copies; an empty table gives an empty result; extra columns are
