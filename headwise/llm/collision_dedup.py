@@ -6,9 +6,10 @@ other with known probability. A pair is a candidate when its projections fall in
 ``count`` of ``projections`` directions; the count is the largest that loses at most ``miss`` of the pairs at the threshold.
 Candidates are verified by their exact cosine in double precision.
 
-Pairs to count are found by sorting: two pivot directions are cut into cells twice the window wide, and every vector goes to
-its own cell and to those its window reaches, so whatever lies within the windows meets in a cell. Cells with many members
-are split into pairs of sub-blocks of bounded size. A block returns link totals per vector and one star of links per local
+Pairs to count come from a grid, not from sorted windows: two pivot directions are cut into cells twice the window wide, and
+every vector goes to its own cell and to those its window reaches, so whatever lies within the windows meets in a cell, where
+all pairs are compared on all directions. Cells with many members are split into pairs of sub-blocks of bounded size, a row
+copied to each of its blocks. A block returns link totals per vector and one star of links per local
 component, never its pairs. Exact copies are one vector with a multiplicity.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and rows without label, link
