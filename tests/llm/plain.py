@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -84,3 +85,32 @@ def top_scores(rows, k, scale=1024):
             scored = [(-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q]
             out[q] = [(i, -s) for s, i in sorted(scored)[:k]]
     return out
+
+
+def planted_words(doc_id, text):
+    """The words of a text after the planting of op11."""
+    words = WORD.findall((text or "").encode())
+    h, n = zlib.crc32(str("" if doc_id is None else doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def word_runs(words, shortest=12):
+    """[(start, length, period)] of all runs, and the words left after collapsing."""
+    number, least = {}, {}
+    x = np.array([number.setdefault(w, len(number)) for w in words])
+    for p in range(1, len(words) // 2 + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (x[:-p] == x[p:]).astype(int), [0]])))
+        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if e - s >= p and e + p - s >= shortest:
+                least.setdefault((s, e + p), p)
+    runs = sorted((s, e - s, p) for (s, e), p in least.items())
+    runs.sort(key=lambda r: (r[0], r[2]))
+    kept = np.ones(len(words), dtype=bool)
+    for s, length, p in runs:
+        kept[s + p:s + length] = False
+    return runs, [w for w, k in zip(words, kept) if k]
