@@ -109,3 +109,38 @@ reach(u, v) as (select u, v from p union select r.u, p.v from reach r join p on
 c as (select u, min(v) as least from reach group by 1)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) as component_id
 from documents d left join n on n.doc_id = d.doc_id left join c on c.u = d.doc_id"""
+
+# --- op13: letters left out by a bitwise crc32, near words by what is left when one letter is taken out
+SQL["op13_spelling_variants"] = r"""
+with recursive found as (
+  select doc_id, w, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{C0}-\x{FF}]+')) as w from documents)
+  where length(w) >= 7 group by 1, 2),
+bits as (
+  select w, n, flatten(list_transform(flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || w, ''),
+      lambda c: case when ord(c) < 128 then [ord(c)] else [195, ord(c) - 64] end)),
+    lambda b: list_transform(range(8), lambda k: (cast(b as bigint) >> cast(k as int)) & 1))) as l from found),
+hashed as (
+  select w, n, xor(list_reduce(list_prepend(4294967295, l), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) as h
+  from bits),
+words as (
+  select word, cast(sum(n) as bigint) as n from (
+    select n, case when h % 31 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word from hashed)
+  where length(word) >= 7 group by 1 having sum(n) >= 2),
+shorter as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as d from (
+    select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other, b.n from shorter a join shorter b on a.i = b.i and a.d = b.d and a.word <> b.word
+  union select a.word, b.word, b.n from shorter a join words b on a.d = b.word
+  union select b.word, a.word, a.n from shorter a join words b on a.d = b.word),
+best as (
+  select word, cast(count(*) as bigint) as n_near, first(other order by n desc, other) as other, max(n) as other_n from near group by 1),
+judged as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * w.n then other end as form,
+    case when other_n >= 10 * w.n then other_n end as form_n from words w left join best b on b.word = w.word),
+walk(word, here) as (
+  select word, word from judged union all select walk.word, form from walk join judged on judged.word = walk.here where form is not null),
+ends as (select walk.word, here as root from walk join judged on judged.word = walk.here where form is null)
+select j.word, form, root, n, n_near, form_n from judged j join ends e on e.word = j.word"""

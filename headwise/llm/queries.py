@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from headwise.llm import (
     adaptive_jaccard, best_fit, byte_bpe, collision_dedup, host_trust, impact_topk, language_id, periodic_runs, quality,
-    run_length_dedup, toxicity,
+    run_length_dedup, spelling_variants, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op11_periodic_runs(spark, sf_dir):
         F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
         F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"), drop_every=31)
