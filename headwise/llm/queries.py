@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.llm import (
-    adaptive_jaccard, best_fit, byte_bpe, collision_dedup, host_trust, impact_topk, language_id, periodic_runs, quality,
+    adaptive_jaccard, best_fit, byte_bpe, collision_dedup, host_trust, impact_topk, language_id, maxent_lm, periodic_runs, quality,
     run_length_dedup, spelling_variants, toxicity,
 )
 
@@ -101,3 +101,8 @@ def op11_periodic_runs(spark, sf_dir):
 @query
 def op13_spelling_variants(spark, sf_dir):
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"), drop_every=31)
+
+
+@query
+def op12_maxent_lm(spark, sf_dir):
+    return maxent_lm.score_corpus(table(spark, sf_dir, "documents"))
