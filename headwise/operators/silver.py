@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.schemas import CARD_FARE, POSITION, PREVIEW_COLUMNS, SILVER_COLUMNS, STOP_CALL
-from headwise.sources.lake import write_silver
+from headwise.sources.lake import swap_silver
+from headwise.sources.versions import Commit, stored_days
 from headwise.sources.staging import stage
 
 
@@ -33,10 +36,11 @@ def silver_tables(points: DataFrame, names: tuple[str, ...] | None = None) -> di
     return {table: silver_table(points, table) for table in (SILVER_COLUMNS if names is None else names)}
 
 
-def ingest(points: DataFrame, base: str, mode: str = "overwrite") -> dict[str, str]:
-    """Write the four tables. The points are stored once, so the feed is parsed once, and every table is cut from the copy."""
+def ingest(points: DataFrame, base: str, mode: str = "overwrite", days: Iterable[str | dt.date | None] = ()) -> dict[str, Commit]:
+    """Write the four tables as versioned days. The points are stored once, so the feed is parsed once, and every table is cut
+    from the copy. ``days``: days that are replaced even where no row of them is left."""
     stored = stage(points, "points")
-    return {table: write_silver(frame, base, table, mode) for table, frame in silver_tables(stored).items()}
+    return {table: swap_silver(frame, base, table, mode, days) for table, frame in silver_tables(stored).items()}
 
 
 def tag_tables(points: DataFrame) -> DataFrame:
@@ -125,3 +129,9 @@ def limit_rows(frame: DataFrame, rows: int) -> DataFrame:
 def silver_days(table: DataFrame) -> DataFrame:
     """Days present in a table, in order."""
     return table.where(F.col("event_dt").isNotNull()).select("event_dt").distinct().orderBy("event_dt")
+
+
+def stored_silver_days(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """Days of a stored table, in order, from its manifest: no data file is read."""
+    days = [(day,) for day in stored_days(spark, f"{base.rstrip('/')}/{name}") if day is not None]
+    return spark.createDataFrame(days, "event_dt date")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headwise.schemas import BRONZE_DDL, SILVER_PARTITIONS, SILVER_TABLES
+from headwise.sources import versions
 
 CORRUPT = "_corrupt_record"
 
@@ -23,9 +25,13 @@ def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _day(value: str | dt.date) -> Column:
+def _date(value: str | dt.date | None) -> dt.date | None:
     # a bad date fails here on the driver, not as an empty result
-    return F.lit(value if isinstance(value, dt.date) else dt.date.fromisoformat(value))
+    return value if value is None or isinstance(value, dt.date) else dt.date.fromisoformat(value)
+
+
+def _day(value: str | dt.date) -> Column:
+    return F.lit(_date(value))
 
 
 def between_days(frame: DataFrame, first: str | dt.date | None = None, last: str | dt.date | None = None) -> DataFrame:
@@ -37,35 +43,46 @@ def between_days(frame: DataFrame, first: str | dt.date | None = None, last: str
     return frame
 
 
-def _partition_folder(values: tuple) -> str:
-    """Path of a partition below its table, as the writer names it."""
-    shown = ["__HIVE_DEFAULT_PARTITION__" if v is None or v == "" else str(v) for v in values]
-    return "/".join(f"{column}={value}" for column, value in zip(SILVER_PARTITIONS, shown))
+def _partition_folder(spark: SparkSession, values: tuple) -> str:
+    """Path of a partition below its table, escaped by the writer's own rule."""
+    shown = [None if v is None or v == "" else str(v) for v in values]
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    return "/".join(named(column, value) for column, value in zip(SILVER_PARTITIONS, shown))
+
 
+def _drop_stale_folders(spark: SparkSession, path: str, stale: dict[str, str], written: set[str]) -> None:
+    """Remove those partitions of the written days that were there before (``stale``) and that this write did not touch: what a
+    corrected row has left behind. A folder that the write made is never among them."""
+    days = {folder.split("/")[0] for folder in written}
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder, where in stale.items():
+        if folder not in written and folder.split("/")[0] in days:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(where), True)
 
-def _drop_stale_folders(spark: SparkSession, path: str, written: set[str]) -> None:
-    """Remove the partitions of the written days that this write did not touch: what a corrected row has left behind."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    for day in sorted({folder.split("/")[0] for folder in written}):
-        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}" + "/*" * (len(SILVER_PARTITIONS) - 1))
-        for found in files.globStatus(pattern) or []:
-            folder = found.getPath()
-            if "/".join(folder.toString().split("/")[-len(SILVER_PARTITIONS):]) not in written:
-                files.delete(folder, True)
+
+def _partition_folders(spark: SparkSession, path: str) -> dict[str, str]:
+    """Partition folders of a table as they are named: path below the table -> whole path."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path + "/*=*" * len(SILVER_PARTITIONS))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    whole = [status.getPath().toString() for status in found]
+    return {"/".join(w.split("/")[-len(SILVER_PARTITIONS):]): w for w in whole}
 
 
 def write_silver(table: DataFrame, base: str, name: str, mode: str = "overwrite", fmt: str = "parquet") -> str:
-    """Write one Silver table partitioned by day, message type and company; returns its path.
+    """Write one Silver table as plain folders by day, message type and company, for readers that know nothing of versions;
+    returns its path. ``swap_silver`` is the safe way to replace days: here a writer that dies may leave a day half replaced.
 
     An overwrite replaces the days present in ``table`` as a whole: partitions that the rows now fill are swapped, and the
-    other partitions of those days go after that. Other days stay. The partitions present are asked for once (days, message
-    types and companies: a small set), so ``table`` should be cheap to read twice. REBALANCE gathers each partition value into
-    few files and lets adaptive execution split a value that holds a large share of the rows over several writers.
+    other partitions those days had before go after that. Other days stay. The partitions present are asked for once (days,
+    message types and companies: a small set), so ``table`` should be cheap to read twice. REBALANCE gathers each partition
+    value into few files and lets adaptive execution split a value that holds a large share of the rows over several writers.
     """
     path = f"{base.rstrip('/')}/{name}"
     spark, replacing = table.sparkSession, mode == "overwrite"
-    written = {_partition_folder(tuple(r)) for r in table.select(*SILVER_PARTITIONS).distinct().collect()} if replacing else set()
+    before, written = {}, set()
+    if replacing:
+        before = _partition_folders(spark, path)
+        written = {_partition_folder(spark, tuple(r)) for r in table.select(*SILVER_PARTITIONS).distinct().collect()}
     (
         table.hint("rebalance", *SILVER_PARTITIONS)
         .write.mode(mode)
@@ -75,10 +92,18 @@ def write_silver(table: DataFrame, base: str, name: str, mode: str = "overwrite"
         .save(path)
     )
     if replacing:
-        _drop_stale_folders(spark, path, written)
+        _drop_stale_folders(spark, path, before, written)
     return path
 
 
+def swap_silver(
+    table: DataFrame, base: str, name: str, mode: str = "overwrite", days: Iterable[str | dt.date | None] = (), fmt: str = "parquet",
+) -> versions.Commit:
+    """Write one Silver table as versioned days: the days of ``table`` and those named in ``days`` are replaced in one step
+    (``append`` adds to them), whatever happens to the writer. See ``sources/versions.py``."""
+    return versions.write_days(table, f"{base.rstrip('/')}/{name}", SILVER_PARTITIONS, mode, fmt, days)
+
+
 def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Scan a Hive-style layout with the declared types, so partition values are not re-guessed from folder names."""
     return spark.read.schema(schema).parquet(path)
@@ -91,11 +116,16 @@ def load_silver(
     last: str | dt.date | None = None,
     schemas: dict[str, T.StructType] | None = None,
 ) -> dict[str, DataFrame]:
-    """The four Silver tables, cut to a day range by partition pruning."""
+    """The four Silver tables, cut to a day range: of versioned tables only the folders of those days are opened, of plain ones
+    the partitions are pruned."""
     loaded = {}
     for name in SILVER_TABLES:
+        path = f"{base.rstrip('/')}/{name}"
+        if versions.manifest(spark, path) is not None:
+            loaded[name] = between_days(versions.read_days(spark, path, _date(first), _date(last)), first, last)
+            continue
         reader = spark.read.schema(schemas[name]) if schemas and name in schemas else spark.read
-        loaded[name] = between_days(reader.parquet(f"{base.rstrip('/')}/{name}"), first, last)
+        loaded[name] = between_days(reader.parquet(path), first, last)
     return loaded
 
 
