@@ -29,7 +29,7 @@ from headwise.operators import stats
 from headwise.plans import avl_projection as AVL
 from headwise.plans import pipeline as P
 from headwise.schemas import SILVER_COLUMNS
-from headwise.sources import lake, reports
+from headwise.sources import lake, reports, versions
 from headwise.sources.staging import fresh_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,35 @@ def silver_reingest(spark, sf):
         "event_id", "gps_idx", "event_dt", "tipo_mensagem", "id_empresa")
 
 
+#: message types that need escaping in a folder name
+ODD_KINDS = ["A:B", "x y/z", "A=B", "100%", "n\u00e3o"]
+
+
+def _swapped_silver(spark, sf) -> str:
+    """Versioned days with odd message types and without a day; then one day is corrected and another loses all its rows."""
+    base, number = fresh_path(spark, "silver-days"), F.col("event_id").cast("bigint")
+    odd = F.when(number % 8 == 5, F.lit(None))
+    for k, kind in enumerate(ODD_KINDS):
+        odd = odd.when(number % 8 == k, F.lit(kind))
+    table = stage(SV.silver_table(AVL.points(spark, sf), "stop_events").withColumns({
+        "tipo_mensagem": odd.otherwise(F.col("tipo_mensagem")), "event_dt": F.when(number % 11 != 0, F.col("event_dt"))}), "stop-events")
+    lake.swap_silver(table, base, "stop_events")
+    corrected = lake.between_days(table, "2024-01-02", "2024-01-02").where(number % 3 != 0).withColumn("id_empresa", F.lit(99))
+    lake.swap_silver(corrected, base, "stop_events", days=["2024-01-02", "2024-01-03"])
+    return base
+
+
+@query
+def silver_day_swap(spark, sf):
+    return versions.read_days(spark, f"{_swapped_silver(spark, sf)}/stop_events").select(
+        "event_id", "gps_idx", "event_dt", "tipo_mensagem", "id_empresa")
+
+
+@query
+def silver_stored_days(spark, sf):
+    return SV.stored_silver_days(spark, _swapped_silver(spark, sf), "stop_events")
+
+
 def _written_gold(spark, sf) -> str:
     return lake.write_gold(_gold(spark, sf), fresh_path(spark, "final_table"))
 

@@ -388,6 +388,11 @@ def index_sql(column: str) -> str:
   as i from gold_lab where split = 'train' group by 1)"""
 
 
+CTES["odd_stops"] = """
+select event_id, gps_idx, case when cast(event_id as bigint) % 11 <> 0 then event_dt end as event_dt,
+  case cast(event_id as bigint) % 8 when 5 then null when 0 then 'A:B' when 1 then 'x y/z' when 2 then 'A=B' when 3 then '100%'
+    when 4 then 'n\u00e3o' else tipo_mensagem end as tipo_mensagem, id_empresa from stop_events"""
+
 CTES["gold_lab"] = """
 select g.*, l.split, l.y_true from gold g join labelled l using (event_dt, janela_5min, cod_linha, cod_veiculo)"""
 
@@ -445,6 +450,12 @@ select event_id, gps_idx, event_dt,
   case when event_dt = date '2024-01-02' and cast(event_id as bigint) % 2 = 0 then 'AVL_EVT_CORRIGIDO' else tipo_mensagem end
     as tipo_mensagem,
   case when event_dt = date '2024-01-02' then 99 else id_empresa end as id_empresa from stop_events""",
+    "silver_day_swap": """
+select event_id, gps_idx, event_dt, tipo_mensagem, case when event_dt = date '2024-01-02' then 99 else id_empresa end as id_empresa
+from odd_stops where event_dt is null or event_dt = date '2024-01-01'
+  or (event_dt = date '2024-01-02' and cast(event_id as bigint) % 3 <> 0)""",
+    "silver_stored_days": """
+select distinct event_dt from odd_stops where event_dt in (date '2024-01-01', date '2024-01-02')""",
     "headway_gap_rows": """
 select event_id, gps_idx, id_ponto, event_dt, cod_linha, viagem_sentido, event_ts,
   (event_ts - lag(event_ts) over w) / 60.0::double as headway_diff_min
