@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from headwise.functions.clock import window_start
 from headwise.functions.rules import direction_or_nd, or_missing
-from headwise.schemas import DIRECTION_WINDOW, MAX_HEADWAY_MIN
+from headwise.schemas import DIRECTION_WINDOW, MAX_HEADWAY_MIN, WINDOW_SECONDS
 
 DIRECTION_DAY = ["event_dt", "cod_linha", "viagem_sentido"]
 
@@ -47,20 +47,26 @@ def headway_gaps(stops: DataFrame) -> DataFrame:
 
 
 def headway_gap_rows(stops: DataFrame) -> DataFrame:
-    """The gap of every stop row to the previous stop row of its day, line and direction, by time, message and point.
+    """The gap of every stop row to the previous stop row of its day, line and direction, by time, message and point; NULL for
+    the first one of a day.
 
-    The first row of a second carries that second's gap, the others follow it at once (gap zero); so only arrival seconds are
-    put in order, and the first row of each is found by a combining aggregate. Copies of a row share its gap.
+    Two phases. The rows are put in order within slices of five minutes, so that a busy line is spread over many tasks, and the
+    rows of a slice are shuffled once. What the first row of a slice lacks, the last second before the slice, is carried over
+    from a table of one row per slice, which combines before its own shuffle (at most 288 rows a day, line and direction) and
+    meets the rows on the partitioning they already have. No row is joined to other rows.
     """
     rows = stops.where(F.col("event_ts").isNotNull() & F.col("event_dt").isNotNull()).select(
         "event_id", "gps_idx", "id_ponto", "event_dt", or_missing("cod_linha").alias("cod_linha"),
-        direction_or_nd().alias("viagem_sentido"), "event_ts")
-    key = [*DIRECTION_DAY, "event_ts"]
-    first = rows.groupBy(*key).agg(F.min(F.struct("event_id", "gps_idx")).alias("first"))
-    gaps = headway_gaps(stops).select(*key, F.col("headway_diff_min").alias("gap"))
-    leads = F.col("first") == F.struct("event_id", "gps_idx")
-    return rows.join(first, key).join(gaps, key).select(
-        "event_id", "gps_idx", "id_ponto", *key, F.when(leads, F.col("gap")).otherwise(0.0).alias("headway_diff_min"))
+        direction_or_nd().alias("viagem_sentido"), "event_ts",
+        F.floor(F.col("event_ts") / WINDOW_SECONDS).alias("slice"))
+    key = [*DIRECTION_DAY, "slice"]
+    carried = rows.groupBy(*key).agg(F.max("event_ts").alias("last_ts")).withColumn(
+        "carry", F.lag("last_ts").over(Window.partitionBy(*DIRECTION_DAY).orderBy("slice"))).select(*key, "carry")
+    within = Window.partitionBy(*key).orderBy("event_ts", "event_id", "gps_idx")
+    before = F.coalesce("prev_ts", "carry")
+    return rows.withColumn("prev_ts", F.lag("event_ts").over(within)).join(carried, key).select(
+        "event_id", "gps_idx", "id_ponto", *DIRECTION_DAY, "event_ts",
+        ((F.col("event_ts") - before) / F.lit(60.0)).alias("headway_diff_min"))
 
 
 def headway_observed(stops: DataFrame, zone: str = "UTC") -> DataFrame:

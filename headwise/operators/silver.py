@@ -102,11 +102,14 @@ def validate_tagged(tagged: DataFrame) -> DataFrame:
         "table_name", "k.kind", "k.value").agg(
         F.count(F.lit(1)).alias("n"), F.min("event_ts").alias("low"), F.max("event_ts").alias("high"))
     whole = F.col("kind") == ""
-    return values.groupBy("table_name").agg(
+    counted = values.groupBy("table_name").agg(
         F.sum(F.when(whole, F.col("n"))).alias("rows"), F.min(F.when(whole, F.col("low"))).alias("min_ts"),
         F.max(F.when(whole, F.col("high"))).alias("max_ts"),
-        *[F.when(F.first("table_name").isin(asked[target]), F.count_if(F.col("kind") == target)).alias(target)
-          for target, _ in wanted])
+        *[F.count_if(F.col("kind") == target).alias(target) for target, _ in wanted])
+    # which counts a table reports is decided behind the grouping, whose key the name is: only numbers are aggregated
+    return counted.select(
+        "table_name", "rows", "min_ts", "max_ts",
+        *[F.when(F.col("table_name").isin(asked[target]), F.col(target)).alias(target) for target, _ in wanted])
 
 
 def preview(points: DataFrame, rows: int) -> DataFrame:

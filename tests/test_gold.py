@@ -212,3 +212,41 @@ def test_arrival_shuffle_is_reused(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "ReusedExchange" in plan and plan.count("FileScan") == 3
+
+
+def test_gap_rows_shuffle_raw_rows_once_and_split_a_busy_line(spark):
+    drawn = random.Random(5)
+    data = []
+    for i in range(3000):  # one line holds most rows
+        line = 1 if i % 3 else drawn.choice([2, None])
+        data.append((f"e{drawn.randrange(900):04d}", drawn.choice([None, 0, 1]), 7, dt.date(2024, 1, 1), line, drawn.choice(["A", None]),
+                     1704067200 + drawn.choice([drawn.randrange(86400), 600 * drawn.randrange(144), 40000 + drawn.randrange(30)])))
+    data += data[:40]  # copies follow each other at once
+    columns = "event_id string, gps_idx int, id_ponto int, event_dt date, cod_linha int, viagem_sentido string, event_ts bigint"
+    stops = spark.createDataFrame(data + [("n", 0, 7, dt.date(2024, 1, 1), 1, "A", None)], columns)
+    last, want = {}, []
+    for r in sorted(data, key=lambda r: (r[6], r[0], -1 if r[1] is None else r[1])):
+        group = (r[3], -1 if r[4] is None else r[4], r[5] or "ND")
+        want.append((r[0], r[1], *group, r[6], None if group not in last else (r[6] - last[group]) / 60.0))
+        last[group] = r[6]
+    frame = H.headway_gap_rows(stops)
+    got = [(r.event_id, r.gps_idx, r.event_dt, r.cod_linha, r.viagem_sentido, r.event_ts, r.headway_diff_min) for r in frame.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        frame = H.headway_gap_rows(stops)
+        plan = plan_of(frame)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("SortMergeJoin") == 1 and "SortAggregate" not in plan
+    raw = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(raw) == 4  # rows by slice; last seconds by slice, by day, and back by slice for the join
+
+
+def test_validation_hashes(spark, sf_dir):
+    from headwise.operators import silver as SV
+    from headwise.plans import avl_projection as AVL
+
+    plan = plan_of(SV.validate_tagged(SV.tag_tables(AVL.points(spark, sf_dir))))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
