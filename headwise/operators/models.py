@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from headwise.operators.encoding import with_target_means
 from headwise.operators.forecast import (
     line_hour_metrics, test_rows, train_rows, vehicle_day_metrics,
 )
@@ -20,6 +21,7 @@ from headwise.sources.staging import stage
 
 SEED = 42
 VALIDATION = "is_validation"
+CATEGORY_BINS = 256
 KEPT_WITH_VECTORS = [c for c in PREDICTION_COLUMNS if c != "y_pred"]
 # fixed values: features of the window that are known when the next one is predicted
 WINDOW_FEATURES = [
@@ -108,15 +110,15 @@ def regressor(kind: str, **params):
 
 
 def preparation(features: list[str], categories: list[str] | None = None, scale: bool = True) -> Pipeline:
-    """Encode, assemble, standardise. Categories become plain ordinal numbers, most frequent first: without the nominal mark a
-    tree splits them by order and their number has no limit."""
+    """Encode, assemble, standardise. Categories become plain ordinal numbers, most frequent first, beside the target means that
+    ``with_target_means`` has given them: without the nominal mark a tree splits both by order, at up to ``maxBins`` places."""
     check_features([*features, *([] if categories is None else categories)])
     stages, inputs = [], [f"filled_{c}" for c in features]
     if categories:
         stages.append(category_indexer(categories))
         plain = ", ".join(f"{c}_index + 0.0D as {c}_code" for c in categories)
         stages.append(SQLTransformer(statement=f"select *, {plain} from __THIS__"))
-        inputs += [f"{c}_code" for c in categories]
+        inputs += [name for c in categories for name in (f"{c}_code", f"{c}_mean")]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="raw_features" if scale else "features"))
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
@@ -129,10 +131,15 @@ def fit_predict(
     """Fit every step on the training part and predict the test part.
 
     The assembled vectors are stored once, since training reads them many times. A boosted model also sees the validation
-    part, but only to decide when to stop."""
+    part, but only to decide when to stop. Categories come as ordinal codes and as out-of-fold target means, and trees may then
+    split a feature at ``CATEGORY_BINS`` places, so that a fleet of vehicles is told apart by what it does."""
+    if categories and kind in ("gbt", "rf"):
+        params = {"maxBins": CATEGORY_BINS, **params}
     model = regressor(kind, **params)
-    check_features(features)
+    check_features([*features, *(categories or [])])
     ready = filled(labelled, training_medians(train_rows(labelled), features))
+    if categories:
+        ready = with_target_means(ready, categories)
     prepared = preparation(features, categories, scale).fit(train_rows(ready))
     vectors = stage(prepared.transform(ready).select(
         *KEPT_WITH_VECTORS, "split", (F.col("split") == "val").alias(VALIDATION), "features"), "vectors")

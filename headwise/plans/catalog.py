@@ -16,6 +16,7 @@ from headwise.functions import rules
 from headwise.functions.clock import window_start
 from headwise.functions.frames import rounded
 from headwise.operators import decisions as D
+from headwise.operators import encoding as EN
 from headwise.operators import forecast as FC
 from headwise.operators import gold as G
 from headwise.operators import graph as GR
@@ -606,6 +607,14 @@ def encode_categories(spark, sf):
     )
 
 
+@query
+def target_mean_codes(spark, sf):
+    """Out-of-fold means of the target by line and vehicle; the folds come from clock and vehicle, so that SQL can follow."""
+    fold = (F.hour("janela_5min") * 12 + F.floor(F.minute("janela_5min") / 5) + F.col("cod_veiculo")) % 5
+    return EN.with_target_means(_labelled(spark, sf), ["cod_linha", "cod_veiculo"], fold).select(
+        *KEY, "split", "cod_linha_mean", "cod_veiculo_mean")
+
+
 @query
 def gbt_forecast(spark, sf):
     return ML.fit_predict(_features(spark, sf), "gbt", ML.WINDOW_FEATURES + ML.LAG_FEATURES)[1]

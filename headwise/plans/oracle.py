@@ -669,6 +669,20 @@ union all select 'constant_median', count(*), {ERRORS} from constant where {VALI
 select event_dt, janela_5min, cod_linha, cod_veiculo, coalesce(viagem_sentido, 'Unknown') as viagem_sentido, """ + ", ".join(
         f"round(coalesce({c}, (select avg({c}) from gold)), {R}) as filled_{c}" for c in (
             "velocidade_media", "latitude_media", "headway_observado_min", "atraso_aproximado_min")) + " from gold",
+    "target_mean_codes": f"""
+with b as (
+  select *, (hour(janela_5min) * 12 + minute(janela_5min) // 5 + cod_veiculo) % 5 as fold from gold_lab),
+m as (select avg(y_true) as m from b where split = 'train'),
+l as (select cod_linha, fold, sum(y_true) as s, count(*) as n from b where split = 'train' group by all),
+v as (select cod_veiculo, fold, sum(y_true) as s, count(*) as n from b where split = 'train' group by all)
+select event_dt, janela_5min, cod_linha, cod_veiculo, split,
+  round((coalesce((select sum(s) from l where l.cod_linha = b.cod_linha and (b.split <> 'train' or l.fold <> b.fold)), 0) + m)
+    / (coalesce((select sum(n) from l where l.cod_linha = b.cod_linha and (b.split <> 'train' or l.fold <> b.fold)), 0) + 1.0::double), {R})
+    as cod_linha_mean,
+  round((coalesce((select sum(s) from v where v.cod_veiculo = b.cod_veiculo and (b.split <> 'train' or v.fold <> b.fold)), 0) + m)
+    / (coalesce((select sum(n) from v where v.cod_veiculo = b.cod_veiculo and (b.split <> 'train' or v.fold <> b.fold)), 0) + 1.0::double), {R})
+    as cod_veiculo_mean
+from b, m""",
     "encode_categories": f"""
 select event_dt, janela_5min, cod_linha, cod_veiculo, viagem_sentido,
   cast(coalesce(a.i, (select count(*) from {index_sql('cod_linha')} q)) as double) as cod_linha_index,

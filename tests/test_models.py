@@ -2,6 +2,7 @@
 
 import pytest
 
+from headwise.operators import encoding as EN
 from headwise.operators import models as ML
 from headwise.operators.forecast import test_rows as rows_to_predict
 from headwise.operators.stats import error_metrics
@@ -65,7 +66,22 @@ def test_forest_takes_a_whole_fleet(spark):
         "if(id < 4000, 'train', 'test') split", "cast(id % 500 as double) y_true", "cast(id % 7 as double) x")
     _, got = ML.fit_predict(frame, "rf", ["x"], ["cod_linha", "cod_veiculo", "viagem_sentido"], scale=False, numTrees=3)
     assert got.count() == 2000
-    assert got.selectExpr("avg(abs(y_true - y_pred)) e").first()["e"] < 60  # the constant is off by 125
+    assert got.selectExpr("avg(abs(y_true - y_pred)) e").first()["e"] < 12.5  # a tenth of what the constant is off by
+
+
+def test_target_means_leave_out_the_own_fold(spark):
+    rows = [("train", "a", 0, 1.0), ("train", "a", 1, 5.0), ("train", "a", 1, 6.0), ("train", None, 0, 3.0), ("train", None, 2, 5.0),
+            ("train", "alone", 1, 100.0), ("val", "a", 1, 9.0), ("test", "a", 0, 7.0), ("test", None, 0, 7.0), ("test", "new", 0, 1.0)]
+    frame = spark.createDataFrame(rows, "split string, c string, f int, y_true double")
+    got = EN.with_target_means(frame, ["c"], frame["f"]).select(*frame.columns, "c_mean").collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"split", "c", "f", "y_true", "c_mean"}
+    train = [r for r in rows if r[0] == "train"]
+    overall = sum(r[3] for r in train) / len(train)
+    for r in got:
+        others = [t[3] for t in train if t[1] == r.c and (r.split != "train" or t[2] != r.f)]
+        assert r.c_mean == pytest.approx((sum(others) + overall) / (len(others) + 1))
+    nothing = EN.with_target_means(frame.where("split = 'test'"), ["c"], frame["f"]).collect()
+    assert len(nothing) == 3 and all(r.c_mean == 0.0 for r in nothing)
 
 
 def test_features_follow_the_reference_set():
