@@ -7,7 +7,7 @@ for comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -648,6 +648,36 @@ def fitted_line_ranking(spark, sf):
     return ranking.drop("rank").withColumn(D.PRED, F.round(D.PRED, 6))
 
 
+def _boosted_aggregates(spark, sf) -> dict[str, DataFrame]:
+    """A boosted model through the whole run and all decision tables, at the published supports."""
+    features = stage(_features(spark, sf), "features")
+    baseline = stage(P.baseline_predictions(features), "baseline")
+    run = ML.run_forecast(features, baseline, "gbt", ML.WINDOW_FEATURES + ML.LAG_FEATURES, "gbt")
+    return D.decision_aggregates(run.predictions, baseline, "gbt", min_line=10, min_line_hour=5, min_segment=5, min_vehicle=10)
+
+
+@query
+def boosted_decisions(spark, sf):
+    """Keys, supports and true means of every decision table of the boosted model: what does not depend on its numbers."""
+    sets = _boosted_aggregates(spark, sf)
+    keys = {"line_hour_final": ["cod_linha", "hour"], "line_ranking": ["cod_linha"], "hour_ranking": ["hour"],
+            "segment_error": ["cod_linha", "hour", "cod_veiculo"], "vehicle_instability": ["cod_veiculo"],
+            "line_hour_compare": ["cod_linha", "hour"]}
+    frames = [sets[name].select(
+        F.lit(name).alias("data_set"), F.concat_ws("|", *columns).alias("key"), F.col(D.REAL).alias(D.REAL), F.col(D.N).alias(D.N))
+        for name, columns in keys.items()]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@query
+def boosted_graph_edges(spark, sf):
+    """The edges of the decision graph of the boosted model, after merging it into an older graph that holds half of them."""
+    graph = GR.decision_graph(spark, _boosted_aggregates(spark, sf), RUN, tuple(GR.PARTS), stage="final")
+    edges = ["type", "src_label", "src_id", "dst_label", "dst_id"]
+    old = GR.Graph(graph.nodes, graph.edges.where(F.crc32(F.col("dst_id").cast("binary")) % 2 == 0))
+    return GR.upsert(old, graph).edges.select(*edges)
+
+
 @query
 def model_keys(spark, sf):
     """Rows that each kind of model predicts, by kind; short fits, as only the keys are compared."""

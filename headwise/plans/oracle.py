@@ -212,6 +212,9 @@ union all
 union all
 (select 'vehicle_instability', prediction_source, concat('cod_veiculo=', cod_veiculo), mean_abs_gap_pred_real, n_registros
    from {source}_veh where rank = 1)"""
+CTES["judged_test"] = """
+select event_dt, cod_linha, cod_veiculo, faixa_horaria as hour, y_true from test
+where cod_linha is not null and cod_veiculo is not null and y_true is not null"""
 CTES["lh_compare"] = """
 select m.*, b.bp as baseline_pred_atraso_aproximado_min, b.br as baseline_real_atraso_aproximado_min,
   b.bn as baseline_n_registros, m.pred_atraso_aproximado_min - b.bp as pred_minus_baseline
@@ -489,6 +492,36 @@ from fitted_line""",
 select 'linear' as prediction_source, cod_linha, round(avg(y_pred), 6) as pred_atraso_aproximado_min,
   round(avg(y_true), {R}) as real_atraso_aproximado_min, count(*) as n_registros
 from fitted_line group by 2 having count(*) >= 10""",
+    "boosted_decisions": f"""
+select 'line_hour_final' as data_set, concat(cod_linha, '|', hour) as key, round(avg(y_true), {R}) as real_atraso_aproximado_min,
+  count(*) as n_registros from judged_test group by cod_linha, hour having count(*) >= 5
+union all select 'line_hour_compare', concat(cod_linha, '|', hour), round(avg(y_true), {R}), count(*) from judged_test
+  group by cod_linha, hour having count(*) >= 5
+union all select 'line_ranking', cast(cod_linha as varchar), round(avg(y_true), {R}), count(*) from judged_test
+  group by cod_linha having count(*) >= 10
+union all select 'hour_ranking', cast(hour as varchar), round(avg(y_true), {R}), count(*) from judged_test
+  group by hour having count(*) >= 5
+union all select 'segment_error', concat(cod_linha, '|', hour, '|', cod_veiculo), round(avg(y_true), {R}), count(*) from judged_test
+  group by cod_linha, hour, cod_veiculo having count(*) >= 5
+union all select 'vehicle_instability', cast(cod_veiculo as varchar), round(avg(m), {R}), cast(sum(n) as bigint) from (
+  select cod_veiculo, event_dt, avg(y_true) as m, count(*) as n from judged_test group by all)
+  group by cod_veiculo having sum(n) >= 10""",
+    "boosted_graph_edges": f"""
+with line as (select cod_linha from judged_test group by all having count(*) >= 10),
+h as (select hour from judged_test group by all having count(*) >= 5),
+veh as (select cod_veiculo from judged_test group by all having count(*) >= 10),
+lh as (select cod_linha, hour from judged_test group by all having count(*) >= 5),
+seg as (select cod_linha, hour, cod_veiculo from judged_test group by all having count(*) >= 5)
+select 'RANKS_LINE' as type, {RANK_EDGE}, 'Linha' as dst_label, cast(cod_linha as varchar) as dst_id from line
+union all select 'RANKS_HOUR', {RANK_EDGE}, 'FaixaHoraria', cast(hour as varchar) from h
+union all select 'RANKS_VEHICLE', {RANK_EDGE}, 'Veiculo', cast(cod_veiculo as varchar) from veh
+union all select 'INCLUDES_LINE_HOUR', {RANK_EDGE}, 'LineHourMetric', {LH_ID} from lh
+union all select 'HAS_LINE_HOUR_METRIC', 'Linha', cast(cod_linha as varchar), 'LineHourMetric', {LH_ID} from lh
+union all select 'AT_HOUR', 'LineHourMetric', {LH_ID}, 'FaixaHoraria', cast(hour as varchar) from lh
+union all select 'INCLUDES_SEGMENT', {RANK_EDGE}, 'CriticalSegment', {SEG_ID} from seg
+union all select 'OF_LINE', 'CriticalSegment', {SEG_ID}, 'Linha', cast(cod_linha as varchar) from seg
+union all select 'OF_VEHICLE', 'CriticalSegment', {SEG_ID}, 'Veiculo', cast(cod_veiculo as varchar) from seg
+union all select 'AT_HOUR', 'CriticalSegment', {SEG_ID}, 'FaixaHoraria', cast(hour as varchar) from seg""",
     "model_keys": " union all ".join(
         f"select '{k}' as kind, event_dt, janela_5min, cod_linha, cod_veiculo, round(y_true, {R}) as y_true from test"
         for k in ("linear", "gbt", "rf")),
