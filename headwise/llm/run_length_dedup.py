@@ -442,7 +442,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False)
     kept = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "rid")]
     keyed = with_rid(docs.select(*kept))
     spans = stage(repeated_spans(keyed, length).groupBy("rid").agg(
-        F.collect_list(F.struct("begin", "until")).alias("spans")), "repeated-spans")
+        F.collect_set(F.struct("begin", "until")).alias("spans")), "repeated-spans")  # equal rows find the same spans
     may, never = _in(keyed, spans)
     frame = may.join(spans.hint("merge"), "rid", "left").unionByName(
         never.withColumn("spans", F.lit(None).cast("array<struct<begin:bigint,until:bigint>>")))
