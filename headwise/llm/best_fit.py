@@ -14,6 +14,7 @@ result; ties between bins of equal room go to the one opened or filled earliest
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
 import numpy as np
@@ -26,7 +27,7 @@ from headwise.sources.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 150_000
+CACHED_WORDS = 150_000  # in each of two generations
 
 
 class RoomTree:
@@ -93,48 +94,108 @@ def best_fit_rules(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return rules
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit numbers) of every piece. Words are encoded with
-    the tokenizer (special-token strings in a text are ordinary text) and kept in a bounded cache in each worker."""
-    def tokenizer():
+def byte_characters() -> dict[str, int]:
+    """The characters by which byte-level vocabularies show bytes: printable Latin-1 ones themselves, the others in order from
+    U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def merge_ranks(tokenizer_path: str) -> dict[bytes, int] | None:
+    """Token bytes and ids of a plain byte-level BPE file whose ids follow the order of its merges, so that the id of a token is
+    also its rank; None for any other file."""
+    with open(tokenizer_path, encoding="utf-8") as held:
+        file = json.load(held)
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or file.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    vocabulary, bytes_of = model["vocab"], byte_characters()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [vocabulary[x + y] for x, y in pairs]
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    if order != sorted(order) or len(set(order)) != len(order) or len(vocabulary.keys() - special) != len(order) + 256:
+        return None
+    return {bytes(bytes_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+
+
+class WordIds:
+    """Ids of words with a blank in front, as bytes, with a cache of two generations: when the younger one is full it becomes the
+    older one, and words found there move up, so frequent words stay and memory is bounded.
+
+    A plain byte-level BPE file is read as ranks, which gives the ids of the ``tokenizers`` library at a third of its time; any
+    other file goes through that library."""
+
+    def __init__(self, tokenizer_path: str):
         import os
 
-        from tokenizers import Tokenizer, processors
+        ranks = merge_ranks(tokenizer_path)
+        if ranks is not None:
+            import public_tokenizers
+            import tiktoken
+
+            self.encode = tiktoken.Encoding(
+                "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            opening = [i for token, i in ranks.items() if token.startswith(b" ")]
+        else:
+            from tokenizers import Tokenizer
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            library = Tokenizer.from_file(tokenizer_path)
+            library.encode_special_tokens = True
+            self.encode = lambda text: library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            opening = [i for token, i in library.get_vocab().items() if token.startswith("\u0120")]
+        self.opens = np.zeros(max(opening, default=0) + 1, dtype=bool)  # tokens that begin with a blank
+        self.opens[opening] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.encode(text), dtype="<u4").tobytes()
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """A blank before a word always starts a token, and in a word without blanks no other token begins with one: so the ids
+        of many words come from one call and are cut at those tokens."""
+        out = {w: self.whole(" " + w) for w in words if not w or " " in w}
+        plain = [w for w in words if w not in out] if out else words
+        if plain:
+            ids = np.array(self.encode(" " + " ".join(plain)), dtype="<u4")
+            cuts = np.flatnonzero((ids < len(self.opens)) & self.opens[np.minimum(ids, len(self.opens) - 1)]).tolist()
+            if len(cuts) != len(plain):  # a tokenizer that does not start a token at every blank before a word
+                return out | {w: self.whole(" " + w) for w in plain}
+            data = ids.tobytes()
+            out.update(zip(plain, [data[4 * a:4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]))
+        return out
+
+    def of(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, words))
+        if None not in found:
+            return found
+        missing = {w for w, ids in zip(words, found) if ids is None}
+        new = {w: self.old[w] for w in missing if w in self.old}
+        new.update(self._fresh([w for w in missing if w not in new]))
+        if len(self.young) + len(new) > CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        if len(new) <= CACHED_WORDS:
+            self.young.update(new)
+        return [new[w] if ids is None else ids for w, ids in zip(words, found)]
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        made = Tokenizer.from_file(tokenizer_path)
-        made.encode_special_tokens = True
-        made.post_processor = processors.ByteLevel(trim_offsets=False)  # offsets that cover every character
-        return made
 
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit numbers) of every piece. Words are encoded with
+    the tokenizer (special-token strings in a text are ordinary text) and kept in a bounded cache in each worker."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        encoder = worker_state("tokenizer " + tokenizer_path, tokenizer)
-        cache: dict[str, bytes] = worker_state("words " + tokenizer_path, dict)
-
-        def fresh(words: list[str]) -> list[bytes]:
-            """Ids of words with a blank in front, from one call: a blank before a word always starts a piece."""
-            coded = encoder.encode(" " + " ".join(words), add_special_tokens=False)
-            ids = np.array(coded.ids, dtype="<u4")
-            starts = np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(ids))
-            ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-            cuts = [0, *np.searchsorted(starts, ends).tolist()]
-            return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        known = worker_state("tokenizer " + tokenizer_path, lambda: WordIds(tokenizer_path))
 
         def ids_of(text: str | None) -> bytes:
             if not text:
                 return end
             first, *rest = spaced_words(text)
-            head = np.array(encoder.encode(first, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            found = list(map(cache.get, rest))
-            if None in found:
-                missing = list({w for w, ids in zip(rest, found) if ids is None})
-                new = dict(zip(missing, fresh(missing)))
-                found = [new[w] if ids is None else ids for w, ids in zip(rest, found)]
-                if len(cache) + len(new) <= CACHED_WORDS:
-                    cache.update(new)
-            return b"".join([head, *found, end])
+            return b"".join([known.whole(first), *known.of(rest), end])
 
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
