@@ -16,8 +16,8 @@ frequent member are verified from one shared shingle on.
 
 Defined results: words are runs of bytes other than blank and 0x09-0x0D, A-Z lower-cased; fewer words than a shingle are
 one shingle; null, empty and wordless texts have no shingle and link with nothing; rows without doc_id get their
-n_shingles and no component; repeated rows are linked copies; an empty table gives an empty result; extra columns are
-ignored. Shingles and sets are compared by 64-bit hashes.
+n_shingles and no component; repeated rows are linked copies; texts are read whole, however long; an empty table gives an
+empty result; extra columns are ignored, whatever their names. Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations

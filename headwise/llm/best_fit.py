@@ -8,8 +8,9 @@ placement rules (documents number lo to hi of a length go to sequences from a nu
 documents of each length by counting in buckets and applies the rules; no document passes through the driver.
 
 Defined results: null and empty texts are the end token alone; a document longer than the capacity is cut into pieces of
-exactly the capacity, the first of which may be shorter; repeated rows are packed each; an empty table gives an empty
-result; ties between bins of equal room go to the one opened or filled earliest in the run of the algorithm.
+exactly the capacity, the first of which may be shorter; texts are read whole, however long; repeated rows are packed each; an
+empty table gives an empty result; of ``docs`` only doc_id and text are read, whatever other columns there are; ties
+between bins of equal room go to the one opened or filled earliest in the run of the algorithm.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ component, never its pairs. Exact copies are one vector with a multiplicity.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and rows without label, link
 with nothing (0 links, own component, kept); vectors of unequal length never link; repeated rows (equal vec_id) are copies
-of each other and of one component; rows without vec_id are left out; an empty table gives an empty result.
+of each other and of one component; rows without vec_id are left out; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ each block are merged by query.
 Defined results: vectors that are null or hold a null or non-finite component, and rows without id, take no part; vectors of
 unequal length are compared on their common components; repeated rows are candidates each, repeated query ids ask once (the
 least vector of that id), a query never lists rows of its own id; ties go to the smaller id; with fewer than k candidates
-all are listed; an empty table gives an empty result. Scores are exact while inner products fit into 53 bits.
+all are listed; an empty table gives an empty result; other columns are ignored, whatever their names. Scores are exact while inner products fit into 53 bits.
 """
 
 from __future__ import annotations
