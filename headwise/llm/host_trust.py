@@ -2,9 +2,13 @@
 
 An allow/block rule decides every url it fits (longest rule wins). Other urls get the verdict of their host: trust spreads
 from hosts with allowed urls along links, distrust from hosts with blocked urls against the direction of links (a host
-that links to bad hosts is suspect), and a host is blocked when its distrust exceeds its trust by the threshold.
+that links to bad hosts is suspect); the host a rule names is a seed like a host with one such page. The threshold of a host is
+its own trust: it is blocked when its distrust is larger (by more than ``margin``).
 
-Edges between hosts are the absolute links of its pages and, since a subdomain is run by whoever owns the domain above it,
+The walks end when less than ``REMAINDER`` of all trust and distrust is still to be passed on: a round passes on 85 % of what the
+round before has passed on, so the number of rounds follows from the damping alone, whatever the graph.
+
+Edges between hosts are the absolute links of its pages (also those that leave out the scheme) and, since a subdomain is run by whoever owns the domain above it,
 one edge in each direction between a host and its parent domain (two labels at least). Copies of a link count once per
 page. Shares are whole numbers (``SCALE`` units for all seeds together, divisions rounded down), so the result does not
 depend on the order of additions, on partitioning or on a recomputed task.
@@ -16,6 +20,8 @@ an empty result; extra columns are ignored. Everything here is DataFrame code.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +33,9 @@ RULES = (
 )
 SCALE = 1_000_000_000_000
 DAMPING_PERCENT = 85
-ROUNDS = 8
-LINK = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^\s"'>]+)"""
+REMAINDER = 0.001
+ROUNDS = math.ceil(math.log(REMAINDER) / math.log(DAMPING_PERCENT / 100))
+LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,7 +69,8 @@ def judged_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, n: pages of src that link to dst (each link once a page), and the edges to and from parent domains."""
     linked = pages.select(host_of(F.col("url")).alias("src"), F.array_distinct(F.transform(
-        F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1)), host_of)).alias("out"))
+        F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1)),
+        lambda link: host_of(F.when(F.startswith(link, F.lit("//")), F.concat(F.lit("x:"), link)).otherwise(link)))).alias("out"))
     links = linked.where(F.size("out") > 0).select("src", F.explode("out").alias("dst")).where(
         (F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(
         F.count(F.lit(1)).alias("n"))
@@ -78,11 +86,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(up).unionByName(down).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def seeds_from(judged: DataFrame) -> DataFrame:
-    """host, trusted and distrusted seed shares: pages with an allowing and a blocking rule, in proportion to all such."""
+def seeds_from(judged: DataFrame, rules=RULES) -> DataFrame:
+    """host, trusted and distrusted seed shares: pages with an allowing and a blocking rule and the rules' own hosts, in
+    proportion to all such."""
     counted = judged.where(F.col("host") != "").groupBy("host").agg(
         F.count(F.when(F.col("rule_verdict") == "allow", 1)).alias("good"),
         F.count(F.when(F.col("rule_verdict") == "block", 1)).alias("bad"))
+    if rules:
+        named = F.array(*[F.struct(F.lit(host).alias("host"), F.lit(int(verdict == "allow")).cast("long").alias("good"),
+                                   F.lit(int(verdict == "block")).cast("long").alias("bad")) for verdict, host, _ in rules])
+        own = judged.sparkSession.range(1, numPartitions=1).select(F.explode(named).alias("r")).select("r.*")
+        counted = counted.unionByName(own).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     totals = counted.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
     return counted.join(F.broadcast(totals), F.lit(True)).select(  # one row of totals
         "host", *[F.coalesce(F.expr(f"cast({n} * {SCALE}BD / nullif(all_{n}, 0) as bigint)"), F.lit(0)).alias(s)
@@ -121,7 +135,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
 def judge(pages: DataFrame, rules=RULES, margin: int = 0, rounds: int = ROUNDS) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust. A host is blocked when distrust > trust + ``margin``."""
     judged = judged_urls(pages, rules)
-    ranks = propagate(host_edges(pages), seeds_from(judged), rounds)
+    ranks = propagate(host_edges(pages), seeds_from(judged, rules), rounds)
     blocked = F.coalesce(F.col("distrust") > F.col("trust") + margin, F.lit(False))
     return judged.join(ranks, "host", "left").select(
         "page_id", "host", "path", "rule",

@@ -40,7 +40,8 @@ def _url_trust() -> str:
     select distinct page_id, rid, host, {_HOST.format(u='raw')} as dst_host, {_HOST.format(u='raw')} as link_host,
       'x://' || {_HOST.format(u='raw')} as link from (
         select page_id, row_number() over () as rid, host,
-          unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^\\s"''>]+)', 1)) as raw
+          unnest(list_transform(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^\\s"''>]+)', 1),
+            lambda r: case when starts_with(r, '//') then 'x:' || r else r end)) as raw
         from judged)) group by 1, 2)""", """links as (select * from linked where src <> '' and dst <> '' and src <> dst)""", """hosts as (
   select host from judged union select dst from links)""", """above as (
   select distinct array_to_string(list_slice(l, i, len(l)), '.') as child, array_to_string(list_slice(l, i + 1, len(l)), '.') as parent
@@ -53,8 +54,10 @@ def _url_trust() -> str:
   union all select dst, src, n, sum(n) over (partition by dst), false from edges)""", f"""seeds as (
   select host, coalesce(cast(good as hugeint) * {SCALE} // nullif(cast(sum(good) over () as hugeint), 0), 0) as trust,
     coalesce(cast(bad as hugeint) * {SCALE} // nullif(cast(sum(bad) over () as hugeint), 0), 0) as distrust
-  from (select host, count(*) filter (where rule_verdict = 'allow') as good, count(*) filter (where rule_verdict = 'block') as bad
-        from judged where host <> '' group by 1))""", """starts as (
+  from (select host, sum(good) as good, sum(bad) as bad from (
+          select host, cast(coalesce(rule_verdict = 'allow', false) as int) as good,
+            cast(coalesce(rule_verdict = 'block', false) as int) as bad from judged where host <> ''
+          union all values {', '.join(f"('{h}', {int(v == 'allow')}, {int(v == 'block')})" for v, h, _ in RULES)}) group by 1))""", """starts as (
   select h.host, coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust
   from (select src as host from edges union select dst from edges union select host from seeds) h left join seeds using (host))"""]
     last = "starts"

@@ -114,3 +114,50 @@ def word_runs(words, shortest=12):
     for s, length, p in runs:
         kept[s + p:s + length] = False
     return runs, [w for w, k in zip(words, kept) if k]
+
+
+def walks(pages, rules, damping, rounds):
+    """({host: trust}, {host: distrust}) of (id, url, html) pages by dense power iteration."""
+    def parts(url):
+        found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+        return (found[1].lower(), found[2]) if found else ("", "")
+
+    seeds, edges = {"allow": Counter(), "block": Counter()}, Counter()
+    for verdict, host, _ in rules:
+        seeds[verdict][host] += 1
+    hosts = set()
+    for _, url, html in pages:
+        host, path = parts(url)
+        hosts.add(host)
+        fitting = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        if fitting:
+            seeds[max(fitting, key=lambda r: len(r[1] + r[2]))[0]][host] += 1
+        links = re.findall(r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]+)""", html)
+        for out in {parts(("x:" if u.startswith("//") else "") + u)[0] for u in links}:
+            if host and out and host != out:
+                edges[host, out] += 1
+                hosts.add(out)
+    for host in list(hosts):  # to and from the domain above, if that has two labels
+        labels = host.split(".")
+        for i in range(len(labels) - 2):
+            child, parent = ".".join(labels[i:]), ".".join(labels[i + 1:])
+            edges[child, parent] += 0
+            edges[parent, child] += 0
+            hosts |= {child, parent}
+    for child, parent in [e for e, n in edges.items() if not n]:
+        edges[child, parent] = 1
+    order = sorted(hosts | set(seeds["allow"]) | set(seeds["block"]))
+    at = {h: i for i, h in enumerate(order)}
+    moves = np.zeros((len(order), len(order)))
+    for (a, b), n in edges.items():
+        moves[at[a], at[b]] += n
+    out = []
+    for verdict, m in (("allow", moves), ("block", moves.T)):
+        start = np.array([seeds[verdict][h] for h in order], dtype=float)
+        start /= max(1, start.sum())
+        share = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
+        rank = start
+        for _ in range(rounds):
+            rank = (1 - damping) * start + damping * rank @ share
+        out.append(dict(zip(order, rank)))
+    return out

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
@@ -82,6 +83,13 @@ def test_repeated_long_row(docs):
         assert (r.n_bytes, len(r.kept), len(r.spans)) == (200000, 0, 1)
 
 
+def test_equal_rows_find_their_spans_once(spark):
+    rows = [(1, PASSAGE + " and " + STORY)] * 300 + [(2, "before " + PASSAGE)]
+    keyed = run_length_dedup.with_rid(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = run_length_dedup.remove_repeats(keyed.select("doc_id", "text"), 200).groupBy("doc_id", "spans").count().collect()
+    assert sorted((r.doc_id, len(r.spans), r["count"]) for r in got) == [(1, 1, 300), (2, 1, 1)]
+
+
 def test_repeats_far_into_a_long_text(spark):
     drawn = np.random.default_rng(8)
     shared = drawn.integers(97, 123, 700, dtype=np.uint8).tobytes()
@@ -137,6 +145,33 @@ def test_packing(docs, nothing, spark):
     assert best_fit.pack(best_fit.pieces(nothing, path)).count() == 0
 
 
+def test_ranks_are_those_of_the_file():
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as held:
+        vocabulary = json.load(held)["model"]["vocab"]
+    ranks = best_fit.merge_ranks(public_tokenizers.path("byte_bpe_50k.json"))
+    assert ranks == byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert len(best_fit.byte_characters()) == 256 and vocabulary["\u0120the"] == ranks[b" the"]
+    assert best_fit.merge_ranks(public_tokenizers.path("word_bpe_49k.json")) is None
+
+
+@pytest.mark.parametrize("by_ranks", [True, False])
+def test_word_ids_equal_the_library(monkeypatch, by_ranks):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    if not by_ranks:
+        monkeypatch.setattr(best_fit, "merge_ranks", lambda _: None)
+    monkeypatch.setattr(best_fit, "CACHED_WORDS", 6)  # the generations of the cache change all the time
+    known, library = best_fit.WordIds(path), Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    odd = ["a  b", " a", "a ", "  ", "x \n y", "x\u00a0y \u00a0z", "a \u3000b", "don't I'll", "\u0120x \u0120", "1 2 12345", "<|endoftext|> b", "_ __ a_b"]
+    for text in [*odd, *TEXTS[1:], " ".join(odd), " ".join(f"w{i % 9} v{i}" for i in range(60))]:
+        first, *rest = best_fit.spaced_words(text)
+        ids = b"".join([known.whole(first), *known.of(rest)])
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert len(known.young) <= 6 and len(known.old) <= 6
+
+
 @pytest.mark.parametrize("lengths", [[1] * 5000, [2048] * 3, [1500, 548, 548, 1500, 1, 1], list(range(1, 700)) * 3, [700] * 7 + [600] * 9])
 def test_rules_equal_the_sequential_algorithm(lengths):
     from collections import Counter
@@ -236,6 +271,28 @@ def test_urls(spark):
     assert host_trust.judge(pages.where("page_id < 0")).count() == 0
 
 
+def test_walks_on_a_link_graph(spark):
+    drawn = np.random.default_rng(7)
+    hosts = [f"h{i}.org" for i in range(40)] + ["good.com", "b.net", "c.net"]
+    rows = []
+    for i, host in enumerate(hosts):
+        for page in range(int(drawn.integers(1, 4))):
+            out = drawn.choice(hosts, size=4) if i % 7 else []
+            kind = ["http://", "//", "https://"]
+            html = " ".join(f'<a href="{kind[k % 3]}{h}/x">' for k, h in enumerate(out))
+            rows.append((len(rows), f"http://{host}/{'es' if page == 0 else 'fr'}/{page}", html))
+    chain = [f"far{i}.info" for i in range(15)]  # a host fifteen links from a blocked one is reached
+    rows += [(len(rows) + i, f"http://{h}/", f'<a href="//{n}/">') for i, (h, n) in enumerate(zip(chain, [*chain[1:], "b.net"]))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: (r.trust, r.distrust, r.verdict) for r in host_trust.judge(pages).where("rule is null").collect()}
+    trust, distrust = plain.walks(rows, host_trust.RULES, 0.85, 400)
+    for host, (t, d, verdict) in got.items():
+        assert abs(t / host_trust.SCALE - trust.get(host, 0)) <= host_trust.REMAINDER
+        assert abs(d / host_trust.SCALE - distrust.get(host, 0)) <= host_trust.REMAINDER
+        assert verdict == ("block" if d > t else "allow")
+    assert len(got) == 55 and got["far0.info"][2] == "block" and {v for _, _, v in got.values()} == {"allow", "block"}
+
+
 def test_classifiers(docs, nothing, labels):
     for operator in (quality, toxicity):
         rows = operator.classify(docs, labels).collect()
@@ -302,6 +359,15 @@ def test_pipeline_on_edges(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_near_copies_tell_rows_apart_by_id_and_text(spark, tmp_path):
+    other = " ".join(f"other{i}" for i in range(90))
+    rows = [(3, STORY), (5, STORY), (5, other), (5, other), (6, STORY.replace("x5 ", "y5 ")), (7, None), (7, None), (8, ""), (None, STORY),
+            (9, other + " and more"), (2, "short one"), (2, "short two"), (2, "short one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).withColumn("_key", F.lit("clash"))
+    kept = sorted((tuple(r)[:2] for r in corpus_pipeline.near_copy_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert kept == sorted([(3, STORY), (5, other), (7, None), (8, ""), (None, STORY), (2, "short one"), (2, "short two")], key=str)
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
