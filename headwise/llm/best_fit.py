@@ -28,7 +28,7 @@ from headwise.sources.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 150_000  # in each of two generations
+CACHED_WORDS = 75_000  # in each of two generations
 
 
 class RoomTree:
@@ -129,10 +129,9 @@ class WordIds:
     A plain byte-level BPE file is read as ranks, which gives the ids of the ``tokenizers`` library at a third of its time; any
     other file goes through that library."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, ranks: dict[bytes, int] | None):
         import os
 
-        ranks = merge_ranks(tokenizer_path)
         if ranks is not None:
             import public_tokenizers
             import tiktoken
@@ -188,9 +187,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit numbers) of every piece. Words are encoded with
     the tokenizer (special-token strings in a text are ordinary text) and kept in a bounded cache in each worker."""
     end = np.array([end_id], dtype="<u4").tobytes()
+    # read once here, as parsing the file takes each worker more memory than the ranks (one per token of the vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(merge_ranks(tokenizer_path))
 
     def cut(batches):
-        known = worker_state("tokenizer " + tokenizer_path, lambda: WordIds(tokenizer_path))
+        known = worker_state("tokenizer " + tokenizer_path, lambda: WordIds(tokenizer_path, shared.value))
 
         def ids_of(text: str | None) -> bytes:
             if not text:

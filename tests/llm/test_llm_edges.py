@@ -159,10 +159,8 @@ def test_word_ids_equal_the_library(monkeypatch, by_ranks):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    if not by_ranks:
-        monkeypatch.setattr(best_fit, "merge_ranks", lambda _: None)
     monkeypatch.setattr(best_fit, "CACHED_WORDS", 6)  # the generations of the cache change all the time
-    known, library = best_fit.WordIds(path), Tokenizer.from_file(path)
+    known, library = best_fit.WordIds(path, best_fit.merge_ranks(path) if by_ranks else None), Tokenizer.from_file(path)
     library.encode_special_tokens = True
     odd = ["a  b", " a", "a ", "  ", "x \n y", "x\u00a0y \u00a0z", "a \u3000b", "don't I'll", "\u0120x \u0120", "1 2 12345", "<|endoftext|> b", "_ __ a_b"]
     for text in [*odd, *TEXTS[1:], " ".join(odd), " ".join(f"w{i % 9} v{i}" for i in range(60))]:
