@@ -4,13 +4,14 @@ Every stage takes (spark, docs, sf_dir) and works on all that its predecessor ke
 Parquet and read again. All stages but the last return the columns of ``documents``; the last returns the packed pieces.
 
 Defined results: an empty table passes every stage; rows with a null or letterless text leave in the first stage; extra
-columns of ``documents`` are dropped; repeated rows are copies of each other, one of which stays.
+columns of ``documents`` are dropped; repeated rows are copies of each other, one of which stays; unlike texts under one id are
+different documents.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.llm import adaptive_jaccard, best_fit, language_id, run_length_dedup, toxicity
@@ -31,13 +32,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id, and of rows that
-    repeat an id one. Rows without id belong to no group and stay."""
+    """One row of each group of near copies (five words, similarity 0.8): one with the smallest id. Rows are told apart by id and
+    text, so unlike texts under one id are different documents, and of equal rows one stays. Rows without id belong to no group
+    and stay."""
     docs = docs.select(*COLUMNS)
-    first = adaptive_jaccard.near_copies(docs, words=5, percent=80).where("doc_id = component_id").select("doc_id")
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").withColumn("_row", F.row_number().over(same_id))
-    return kept.where("_row = 1").drop("_row").unionByName(docs.where("doc_id is null"))
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = adaptive_jaccard.near_copies(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    ids = keyed.select("_key", "doc_id").distinct()
+    first = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
+    kept = keyed.join(first.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
