@@ -102,8 +102,9 @@ def regressor(kind: str, **params):
     if kind == "gbt":  # up to 100 rounds of up to 32 leaves; rounds end early once the validation part stops gaining
         return GBTRegressor(seed=SEED, validationIndicatorCol=VALIDATION, **common, **{
             "maxIter": 100, "maxDepth": 5, **params})
-    if kind == "rf":  # trees as deep as the library allows
-        return RandomForestRegressor(seed=SEED, **common, **{"numTrees": 100, "maxDepth": 30, "maxMemoryInMB": 1024, **params})
+    if kind == "rf":  # trees as deep as the library allows; rows keep their nodes, else every level sends all trees to all tasks
+        return RandomForestRegressor(seed=SEED, **common, **{
+            "numTrees": 100, "maxDepth": 30, "maxMemoryInMB": 1024, "cacheNodeIds": True, **params})
     if kind == "linear":
         return LinearRegression(**common, **params)
     raise ValueError(f"unknown regressor {kind!r}")

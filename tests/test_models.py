@@ -69,6 +69,16 @@ def test_forest_takes_a_whole_fleet(spark):
     assert got.selectExpr("avg(abs(y_true - y_pred)) e").first()["e"] < 12.5  # a tenth of what the constant is off by
 
 
+def test_forest_rows_keep_their_nodes(spark):
+    assert ML.regressor("rf").getCacheNodeIds()  # without, every level sends whole trees to the tasks
+    frame = spark.range(800).selectExpr(
+        "date '2024-01-01' event_dt", "timestamp_ntz '2024-01-01 08:00:00' janela_5min", "cast(id as int) cod_linha",
+        "cast(id % 9 as int) cod_veiculo", "8 faixa_horaria", "if(id % 4 < 3, 'train', 'test') split",
+        "cast(id * 37 % 101 as double) y_true", "cast(id % 7 as double) x", "cast(id * 13 % 83 as double) z").coalesce(1)
+    kept, sent = (ML.fit_predict(frame, "rf", ["x", "z"], scale=False, numTrees=3, **params)[1] for params in ({}, {"cacheNodeIds": False}))
+    assert sorted((r.cod_linha, r.y_pred) for r in kept.collect()) == sorted((r.cod_linha, r.y_pred) for r in sent.collect())
+
+
 def test_target_means_leave_out_the_own_fold(spark):
     rows = [("train", "a", 0, 1.0), ("train", "a", 1, 5.0), ("train", "a", 1, 6.0), ("train", None, 0, 3.0), ("train", None, 2, 5.0),
             ("train", "alone", 1, 100.0), ("val", "a", 1, 9.0), ("test", "a", 0, 7.0), ("test", None, 0, 7.0), ("test", "new", 0, 1.0)]
