@@ -338,8 +338,7 @@ def headway_delay(spark, sf):
 @query
 def gold_semi_keys(spark, sf):
     tables = AVL.tables(spark, sf)
-    windows = G.stop_vehicle_windows(tables["stop_events"])
-    return windows.join(G.contract_table(tables).select(*G.VEHICLE_WINDOW), G.VEHICLE_WINDOW, "left_semi")
+    return G.limited_to_contract(G.stop_vehicle_windows(tables["stop_events"]), G.contract_table(tables))
 
 
 @query

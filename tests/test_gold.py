@@ -141,6 +141,18 @@ def test_custom_contract_limits_the_keys(spark):
     assert first.count() == 1 and first.rdd.getNumPartitions() <= 3
 
 
+def test_contract_keys_are_combined_before_the_join(spark):
+    t = tables(spark, [stop(f"e{i}", i % 3) for i in range(50)] + [stop("x", 400, vehicle=None), stop("y", 700, line=None)])
+    windows, context = G.stop_vehicle_windows(t["stop_events"]), G.vehicle_window_context(t["gps_events"])
+    kept = G.stop_windows_with_context(windows, context, G.contract_table(t).where("minute(janela_5min) < 10"))
+    assert sorted((r.cod_veiculo, r.qtd_eventos_stop) for r in kept.collect()) == [(-1, 1), (1, 50)]
+    lines = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "Join LeftSemi" in x)
+    child = lines[at].index("Join LeftSemi")  # where the marks of its two sides stand
+    right = next(x for x in lines[at + 1:] if x[child:child + 2] == "+-")
+    assert "Aggregate [event_dt" in right  # a row per window, not per point
+
+
 def test_contract_violations(spark):
     good = G.contract_table(tables(spark, [stop("a", 1)]))
     G.assert_contract(good)
