@@ -10,8 +10,9 @@ softmax are hashed.
   count, with one unknown word (half a count) per class. So the probabilities of all known words and the unknown ones add up to
   one.
 * **Counts.** Every training token is counted; distinct words with counts are shuffled, not tokens. The most frequent
-  ``HEAD_WORDS`` at most are broadcast; counts of other words are joined to the distinct ones of each document, so nothing that
-  grows with the vocabulary is held by a task or the driver.
+  ``HEAD_WORDS`` at most are broadcast, the ``LISTED`` most frequent ones always; counts of other words are joined to the distinct
+  ones of each document, so nothing that grows with the vocabulary is held by a task or the driver. Which words are broadcast does
+  not change a score: beyond ``LISTED`` a word counts by its ending either way.
 * **Token numbers** of all documents are written once and read by training and scoring.
 * **Training.** The model starts as the unigram model and is fitted in ``ROUNDS`` rounds over disjoint parts of all training
   documents. In a round every task walks over its documents in mini-batches with scaled gradient steps (AdaGrad); the changes of
@@ -52,7 +53,6 @@ FEATURES = LISTED + ENDINGS + 1  # the last one stands before the text
 PAIRS, WORD_ROWS = 1 << 13, 1 << 12
 CLASS_TABLE, WORD_TABLE = 2 * FEATURES + PAIRS, 2 * WORD_ROWS
 ROUNDS, BATCH, RATE, SLOW, DOUBT = 2, 4096, 0.3, 1.0, 1.0
-EAGER = 50
 PIECE, RUN = 1 << 20, 1 << 16
 UNKNOWN = 0.5
 
@@ -206,11 +206,10 @@ def log_shares(model: Model, group, place, one, two) -> np.ndarray:
 
 
 class Trainer:
-    """Scaled gradient steps of one task. Its first ``EAGER`` batches change the weights of all features, later ones those of
-    one kind of feature each, in turn."""
+    """Scaled gradient steps of one task. Every batch changes the weights of all features, however many batches there are."""
 
     def __init__(self, model: Model, rate: float):
-        self.model, self.rate, self.batches = model, rate, 0
+        self.model, self.rate = model, rate
         self.tables = [model.by_class.copy(), model.by_word.copy()]
         self.squares = [np.full_like(t, SLOW) for t in self.tables]
         self.seen = [np.zeros(len(t), dtype=np.int64) for t in self.tables]
@@ -220,7 +219,7 @@ class Trainer:
         error, total = _shares(bias, table, rows)
         error *= (1 / total)[:, None]
         error[np.arange(len(target)), target] -= 1
-        for row in rows if self.batches < EAGER else [rows[self.batches % len(rows)]]:
+        for row in rows:
             order = np.argsort(row.astype(np.uint16), kind="stable")
             held = row.take(order)
             first = np.flatnonzero(np.diff(held, prepend=-1))
@@ -245,7 +244,6 @@ class Trainer:
             if len(head):
                 own = own[head]
                 self._step(1, self.model.inner_bias.take(own, axis=0), inner_rows([r[head] for r in rows], own), inner[head])
-            self.batches += 1
 
     def changes(self) -> np.ndarray:
         """Changes of all weights times how often their rows were seen, and the latter."""
@@ -261,15 +259,18 @@ def vocabulary(counts: DataFrame) -> Model:
     tail = (F.crc32(F.substring("word", -2, 2)) % TAIL_CLASSES).cast("int")
     level = F.floor(F.log2("n") * 8).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # some hundred at most
-    least, held = None, 0
+    least, kept, held = None, 0, 0
     for row in sorted(levels, key=lambda r: -r.level):
         held += row.n
         if held > HEAD_WORDS:
             break
-        least = row.level
+        least, kept = row.level, held
     words, n = [], np.zeros(0)
-    if least is not None:
-        frame = counts.where(level >= least).select("word", "n").toArrow()
+    if levels:
+        # classes and features hang on the LISTED most frequent words, so these are held however many words share a level
+        enough = kept >= min(LISTED, sum(r.n for r in levels))
+        chosen = counts.where(level >= least) if enough else counts.orderBy(F.desc("n"), "word").limit(LISTED)
+        frame = chosen.select("word", "n").toArrow()
         n = frame["n"].to_numpy()
         words = frame["word"].to_pylist()
         order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))

@@ -91,6 +91,37 @@ def test_histories(monkeypatch, run):
     assert group[5] == lm.HEAD_CLASSES + 4 % lm.TAIL_CLASSES
 
 
+def test_every_batch_trains_all_features(monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 8)
+    drawn = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(30)]
+    shares = np.full((lm.HEAD_CLASSES, lm.CLASS_WORDS), -4, dtype="f4")
+    model = lm.Model(words, np.ones(30), 30, 30, np.full(lm.CLASSES, -3, dtype="f4"), shares, np.ones(lm.TAIL_CLASSES))
+    tokens = drawn.integers(0, 30, 3000).astype(np.int32)
+    trainer = lm.Trainer(model, 0.1)
+    for _, run in lm.histories(model, tokens, np.array([1000, 3000])):
+        trainer.learn(*run)
+    of_class, of_word = trainer.seen
+    kinds = np.split(of_class, [lm.FEATURES, 2 * lm.FEATURES]) + np.split(of_word, [lm.WORD_ROWS])
+    assert [int(k.sum()) for k in kinds] == [3000] * 5  # 375 batches: as many as there are
+
+
+def test_scores_do_not_hang_on_the_broadcast_words(spark, monkeypatch):
+    drawn = np.random.default_rng(4)
+    rare = [[f"r{i}x{k}" for k in range(60)] for i in range(100)]  # 6,000 words with one count
+    texts = [" ".join(["often", "seen", "words", *r, *(f"v{k}" for k in drawn.integers(0, 40, 60))]) for r in rare]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def scores():
+        return [(r.doc_id, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_corpus(docs).orderBy("doc_id").collect()]
+
+    whole = scores()
+    for head in (4500, 100, 0):  # a level of words that no longer fits
+        monkeypatch.setattr(lm, "HEAD_WORDS", head)
+        for a, b in zip(scores(), whole, strict=True):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
+
+
 def test_probabilities_add_up(spark):
     drawn = np.random.default_rng(1)
     text = [" ".join(f"w{k}{'xyz'[k % 3]}" for k in drawn.zipf(1.2, 200) % 3000) for _ in range(60)]
