@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -22,6 +25,7 @@ from headwise.sources.staging import stage
 SEED = 42
 VALIDATION = "is_validation"
 CATEGORY_BINS = 256
+FOREST_PARTS, PART_SEEDS = 8, 1_000_003
 KEPT_WITH_VECTORS = [c for c in PREDICTION_COLUMNS if c != "y_pred"]
 # fixed values: features of the window that are known when the next one is predicted
 WINDOW_FEATURES = [
@@ -126,6 +130,27 @@ def preparation(features: list[str], categories: list[str] | None = None, scale:
     return Pipeline(stages=stages)
 
 
+def fit_forest(forest: RandomForestRegressor, train: DataFrame) -> list[Model]:
+    """The stages that predict with the mean of all trees of a forest.
+
+    One level of all trees at a time leaves most of a cluster waiting, for the driver too. So the trees are dealt to up to
+    ``FOREST_PARTS`` forests that are fitted side by side, each with its share of the memory for statistics. A part has two trees
+    at least: a single one would be given every feature."""
+    trees = forest.getNumTrees()
+    parts = max(1, min(FOREST_PARTS, trees // 2))
+    if parts == 1:
+        return [forest.fit(train)]
+    sizes = [len(range(i, trees, parts)) for i in range(parts)]
+    members = [forest.copy({
+        forest.numTrees: n, forest.seed: forest.getSeed() + i * PART_SEEDS, forest.predictionCol: f"part_{i}",
+        forest.maxMemoryInMB: max(1, forest.getMaxMemoryInMB() // parts)}) for i, n in enumerate(sizes)]
+    carried = inheritable_thread_target(train.sparkSession)
+    with ThreadPool(parts) as pool:
+        fitted = pool.map(lambda fit: fit(), [carried(partial(m.fit, train)) for m in members])
+    total = " + ".join(f"part_{i} * {n}.0D" for i, n in enumerate(sizes))
+    return [*fitted, SQLTransformer(statement=f"select *, ({total}) / {trees}.0D as {forest.getPredictionCol()} from __THIS__")]
+
+
 def fit_predict(
     labelled: DataFrame, kind: str, features: list[str], categories: list[str] | None = None, scale: bool = True, **params
 ) -> tuple[PipelineModel, DataFrame]:
@@ -144,9 +169,10 @@ def fit_predict(
     prepared = preparation(features, categories, scale).fit(train_rows(ready))
     vectors = stage(prepared.transform(ready).select(
         *KEPT_WITH_VECTORS, "split", (F.col("split") == "val").alias(VALIDATION), "features"), "vectors")
-    fitted = model.fit(vectors.where(F.col("split").isin("train", "val")) if kind == "gbt" else train_rows(vectors))
-    predictions = fitted.transform(test_rows(vectors)).select(*PREDICTION_COLUMNS)
-    return PipelineModel(stages=[*prepared.stages, fitted]), predictions
+    seen = vectors.where(F.col("split").isin("train", "val")) if kind == "gbt" else train_rows(vectors)
+    fitted = fit_forest(model, seen) if kind == "rf" else [model.fit(seen)]
+    predictions = PipelineModel(stages=fitted).transform(test_rows(vectors)).select(*PREDICTION_COLUMNS)
+    return PipelineModel(stages=[*prepared.stages, *fitted]), predictions
 
 
 def run_forecast(

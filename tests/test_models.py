@@ -79,6 +79,22 @@ def test_forest_rows_keep_their_nodes(spark):
     assert sorted((r.cod_linha, r.y_pred) for r in kept.collect()) == sorted((r.cod_linha, r.y_pred) for r in sent.collect())
 
 
+def test_forest_in_parts_has_all_trees(spark):
+    frame = spark.range(300).selectExpr(
+        "date '2024-01-01' event_dt", "timestamp_ntz '2024-01-01 08:00:00' janela_5min", "cast(id as int) cod_linha",
+        "cast(id % 9 as int) cod_veiculo", "8 faixa_horaria", "if(id % 4 < 3, 'train', 'test') split",
+        "cast(id * 37 % 101 as double) y_true", "cast(id % 7 as double) x", "cast(id * 13 % 83 as double) z").coalesce(1)
+    model, got = ML.fit_predict(frame, "rf", ["x", "z"], scale=False, numTrees=21, maxDepth=4)
+    forests = [m for m in model.stages if hasattr(m, "trees")]
+    assert len(forests) == ML.FOREST_PARTS and sum(len(m.trees) for m in forests) == 21
+    assert len({m.getSeed() for m in forests}) == len({m.toDebugString.split("\n", 1)[1] for m in forests}) == ML.FOREST_PARTS
+    assert {m.getFeatureSubsetStrategy() for m in forests} == {"auto"} and min(len(m.trees) for m in forests) >= 2
+    rows = model.transform(ML.filled(frame, {"x": 0.0, "z": 0.0}).where("split = 'test'")).select("cod_linha", "features").collect()
+    mean = {r.cod_linha: sum(t.predict(r.features) for m in forests for t in m.trees) / 21 for r in rows[:9]}
+    by_line = {r.cod_linha: r.y_pred for r in got.collect()}
+    assert len(by_line) == 75 and all(by_line[k] == pytest.approx(v) for k, v in mean.items())
+
+
 def test_target_means_leave_out_the_own_fold(spark):
     rows = [("train", "a", 0, 1.0), ("train", "a", 1, 5.0), ("train", "a", 1, 6.0), ("train", None, 0, 3.0), ("train", None, 2, 5.0),
             ("train", "alone", 1, 100.0), ("val", "a", 1, 9.0), ("test", "a", 0, 7.0), ("test", None, 0, 7.0), ("test", "new", 0, 1.0)]
